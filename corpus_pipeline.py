@@ -1,0 +1,2 @@
+STAGES = []
+def run(spark, sf_dir): raise NotImplementedError
