@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import html, pii, repeats, tokenize, vectors, warc
+from llm import html, near, pii, repeats, tokenize, vectors, warc
 from llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), 20)
 
 
+def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents"), 0.8)
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(vectors.finite("embedding"))
     # An integer that a double can't hold exactly would need another score; components here are far smaller.
