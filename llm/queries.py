@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import html, near, pii, repeats, tokenize, vectors, warc
+from llm import html, lm, near, pii, repeats, tokenize, vectors, warc
 from llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
