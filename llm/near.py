@@ -224,4 +224,4 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs with one row of each class: that of the smallest id. Rows with a null id stay."""
     first = classes(docs, threshold).where("doc_id = class_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
