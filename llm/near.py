@@ -7,7 +7,7 @@ agree on a coordinate with the probability of their weighted Jaccard similarity.
 bands; documents with a common band are candidates, and the exact similarity of each candidate pair decides.
 
 Hot bands: documents with equal sets are one node first. Then every band compares its members with a few
-pivots only; members that join the pivot's class need no more comparison. What is left is compared with
+pivots only, and only where the elements that nobody else has leave room for a link; members that join the pivot's class need no more comparison. What is left is compared with
 four times as many pivots a round, until every pair of a band has been compared or is in one class, so no link
 between classes is lost. A class is a connected component of links; class_id is its smallest doc_id.
 
@@ -168,6 +168,20 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _with_own(band: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Bands with n, the elements of the node, and own, how many of them no other node has; without nodes that can't have a link."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = [np.frombuffer(x, U) for x in batch.column("elements").to_pylist()]
+        n = np.array([len(x) for x in raw])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("pid").to_numpy(), n)), pa.array(signed(np.concatenate(raw)))], ["node", "element"])
+
+    single = map_arrow(held, each, "node long, element long").groupBy("element").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("own"))
+    size = held.select(F.col("pid").alias("node"), (F.length("elements") / 8).cast("long").alias("n")).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return band.join(size.where(F.col("n") - F.col("own") >= threshold * F.col("n")), "node")
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id for every row of docs (doc_id, text).
 
@@ -183,32 +197,39 @@ def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set", bands
     rep = member.where("pid = node").select("pid")
     band = one.join(rep, "pid", "left_semi").groupBy("pid").agg(F.min("bands").alias("bands")).select(F.col("pid").alias("node"), F.explode("bands").alias("bucket"))
     many = band.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("bucket")
+    # Every band that is open: it may still hold pairs that have not been compared.
     open_ = kept(band.join(many, "bucket").withColumn("used", F.lit(False)), "bands")
     wanted = open_.select(F.col("node").alias("pid")).distinct()
     held = kept(sets(base.join(wanted, "pid", "left_semi").groupBy("pid").agg(F.min("text").alias("text")), weights), "sets")
 
+    # Elements that no other candidate has can be in no intersection; they bound the similarity of every pair.
+    open_ = kept(_with_own(open_, held, threshold), "bands")
     labels = kept(wanted.select(F.col("pid").alias("node"), F.col("pid").alias("root")), "labels")
-    pivots = PIVOTS
+    pivots, columns = PIVOTS, ("bucket", "node", "n", "own", "used")
     while True:
         now = open_.join(labels, "node")
         size = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
         # The largest class of a band; all others are strays, which must be compared with everything outside their class.
         main = size.groupBy("bucket").agg(F.max(F.struct("n", F.negative("root").alias("neg"))).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("bucket", F.negative("m.neg").alias("main"))
         now = now.join(main, "bucket").withColumn("stray", (F.col("root") != F.col("main")) & ~F.col("used"))
-        left = now.groupBy("bucket").agg(F.count_if("stray").alias("strays")).where("strays > 0")
+        left = now.groupBy("bucket").agg(F.count_if("stray").alias("strays"), F.min(F.struct("own", "node"))["node"].alias("origin")).where("strays > 0")
         share = F.pmod(F.xxhash64("bucket", "node", F.lit(pivots)), F.lit(1 << 40)) / float(1 << 40)
-        now = now.join(left, "bucket").withColumn("pivot", F.col("stray") & (share < pivots / F.col("strays")))
-        now = kept(now.select("bucket", "node", "root", F.col("used") | F.col("pivot"), "pivot").toDF("bucket", "node", "root", "used", "pivot"), "bands")
+        # The first pivot is the node with the fewest elements of its own: the likely origin of a group of edited copies.
+        chosen = F.col("stray") & (share < pivots / F.col("strays")) if pivots > PIVOTS else F.col("node") == F.col("origin")
+        now = now.join(left, "bucket").withColumn("pivot", chosen)
+        now = kept(now.withColumn("used", F.col("used") | F.col("pivot")).select(*columns, "root", "pivot"), "bands")
         if now.isEmpty():
             break
-        centre = now.where("pivot").select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"))
-        pairs = centre.join(now.select("bucket", "node", "root"), "bucket").where("p_root <> root").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+        centre = now.where("pivot").select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), (F.col("n") - F.col("own")).alias("p_both"))
+        most = F.least("p_both", F.col("n") - F.col("own"))  # common elements
+        close = (F.col("p_root") != F.col("root")) & (most >= threshold * (F.col("n") + F.col("p_n") - most) - 1e-9)
+        pairs = centre.join(now.select("bucket", "node", "root", "n", "own"), "bucket").where(close).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
         with_a = pairs.join(held.select(F.col("pid").alias("a"), F.col("elements").alias("x")), "a")
         both = with_a.join(held.select(F.col("pid").alias("b"), F.col("elements").alias("y")), "b")
         # lengths alone rule out many pairs
         fits = F.least(F.length("x"), F.length("y")) >= threshold * F.greatest(F.length("x"), F.length("y"))
         links = kept(both.where(fits).withColumn("s", similarity("x", "y")).where(F.col("s") >= threshold).select("a", "b"), "links")
-        open_ = now.select("bucket", "node", "used")
+        open_ = now.select(*columns)
         pivots *= 4
         if links.isEmpty():
             continue

@@ -4,7 +4,7 @@
 2. Every window of `window` words has one anchor: the smallest hash of its phrases of PHRASE words. Anchors
    that several documents share are the candidates for recurring passages.
 3. For each shard of documents an automaton of its own recurring phrases is compiled with pyahocorasick and
-   all documents of the shard are streamed through it: every occurrence gives the windows around it.
+   all documents of the shard are streamed through it: every occurrence gives the windows that it anchors.
 4. Windows found in several documents are confirmed by their hashes (96 bits), each with the smallest document that has it.
 5. Words under a window that starts earlier, in a smaller document or in the same one, are removed.
 
@@ -23,29 +23,32 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import map_arrow, parts
+from llm.common import id_key, map_arrow, parts
 from llm.words import U, Words, blocks, in_sorted, mix, runs, signed, whole
 
 PHRASE = 5  # words of a phrase
 SHARD_PHRASES = 200_000  # phrases in one automaton at most; more of them go to a second one
 
 
-def anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of the block: its text, whether it is a window at all, its anchor."""
-    low = runs(w.hashes, PHRASE)
-    width = window - PHRASE + 1
-    n = max(0, len(w.hashes) - window + 1)
+def least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each `width` neighbours, by doubling."""
     size = 1
     while size * 2 <= width:
-        low = np.minimum(low[:-size], low[size:])
+        x = np.minimum(x[:-size], x[size:])
         size *= 2
-    if size < width and len(low):
-        low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
+    if size < width and len(x):
+        x = np.minimum(x[: max(0, len(x) - (width - size))], x[width - size :])
+    return x
+
+
+def anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of the block: its text, whether it is a window at all, its anchor."""
     text, ok = whole(w.first, len(w.hashes), window)
-    return text, ok, low[:n]
+    return text, ok, least_of(runs(w.hashes, PHRASE), window - PHRASE + 1)[: len(text)]
 
 
 def window_hashes(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,17 +124,16 @@ def _candidate_windows(docs: DataFrame, window: int) -> DataFrame:
                 # one place for each phrase
                 _, once = np.unique(phrase[places], return_index=True)
                 grams = w.hashes[places[once][:, None] + np.arange(PHRASE)]
-                near = np.zeros(len(w.hashes) + 1, dtype=np.int64)
+                hit = np.zeros(len(phrase), dtype=bool)
                 for part in range(0, len(grams), SHARD_PHRASES):
                     machine = Automaton(grams[part : part + SHARD_PHRASES])
                     for d in range(end - row):
                         a, b = w.first[d], w.first[d + 1]
-                        hits = np.array(machine.ends(w.hashes[a:b]), dtype=np.int64)
-                        if len(hits):  # windows that hold the phrase
-                            np.add.at(near, np.maximum(a, a + hits - window + 1), 1)
-                            np.add.at(near, a + hits - PHRASE + 2, -1)
-                text, ok = whole(w.first, len(w.hashes), window)
-                chosen = np.flatnonzero(ok & (np.cumsum(near)[: len(ok)] > 0))
+                        hit[a + np.array(machine.ends(w.hashes[a:b]), dtype=np.int64) - PHRASE + 1] = True
+                # windows whose anchor is one of the phrases found
+                text, ok, low = anchors(w, window)
+                found = least_of(np.where(hit, phrase, U(0xFFFFFFFFFFFFFFFF)), window - PHRASE + 1)[: len(low)]
+                chosen = np.flatnonzero(ok & (found == low))
                 one, two = window_hashes(w, window)
                 out.append((one[chosen], two[chosen], ids[row + text[chosen]]))
             if out:
@@ -179,7 +181,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False) -
     if window < PHRASE:
         raise ValueError(f"a window has at least {PHRASE} words")
     n = parts(docs.sparkSession)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("pid"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    base = docs.select(id_key().alias("pid"), F.coalesce("text", F.lit("")).alias("text"))
     first = base.select("pid", F.unhex(F.sha2("text", 256)).alias("key")).groupBy("key").agg(F.min("pid").alias("pid")).select("pid", F.lit(True).alias("own"))
     dealt = base.repartition(n, "pid")  # the one shuffle of the texts, used three times
     whole_docs = dealt.join(first.dropDuplicates(["pid"]), "pid", "left").withColumn("own", F.coalesce("own", F.lit(False)))
@@ -208,7 +210,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False) -
                 left = np.flatnonzero(~lost_here) + a
                 text = b" ".join(raw[s:e] for s, e in zip(w.starts[left].tolist(), w.ends[left].tolist(), strict=True))
                 rows.append((b - a, int(lost_here.sum()), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if keep_text else None))
-        columns = [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES[1:], strict=True))]
+        ids = batch.column("pid")
+        columns = [pc.if_else(pc.equal(ids, -(2**63)), None, ids), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES[1:], strict=True))]
         return pa.RecordBatch.from_arrays(columns[: 5 if keep_text else 4], list(NAMES[: 5 if keep_text else 4]))
 
     return map_arrow(whole_docs.join(lost, "pid", "left"), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else ""))
