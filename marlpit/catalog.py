@@ -1,0 +1,82 @@
+"""Tables of a folder as views, and statements that change the catalog."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+@dataclass
+class Table:
+    name: str
+    df: DataFrame
+    key: tuple[str, ...] = ()
+    indexes: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    ttl_days: int | None = None
+
+    @property
+    def parent(self) -> str | None:
+        return self.name.rpartition(".")[0] or None
+
+
+class Catalog:
+    """Names are not case-sensitive; a child table A.B takes its key from A's and adds its own."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.tables = spark, {}
+
+    def create(self, name: str, df: DataFrame, key: tuple[str, ...] = (), ttl_days: int | None = None, if_not_exists: bool = False) -> Table:
+        if name.lower() in self.tables:
+            if if_not_exists:
+                return self.tables[name.lower()]
+            raise ValueError(f"table {name} exists")
+        t = Table(name, df, key, ttl_days=ttl_days)
+        if t.parent and self.get(t.parent).key != key[: len(self.get(t.parent).key)]:
+            raise ValueError(f"the key of {name} must begin with its parent's")
+        self.tables[name.lower()] = t
+        df.createOrReplaceTempView(name.replace(".", "_"))
+        return t
+
+    def get(self, name: str) -> Table:
+        if name.lower() not in self.tables:
+            raise KeyError(f"no table {name}")
+        return self.tables[name.lower()]
+
+    def drop(self, name: str) -> None:
+        if any(t.parent and t.parent.lower() == name.lower() for t in self.tables.values()):
+            raise ValueError(f"{name} has child tables")
+        del self.tables[self.get(name).name.lower()]
+        self.spark.catalog.dropTempView(name.replace(".", "_"))
+
+    def alter(self, name: str, add: dict[str, str] | None = None, drop: tuple[str, ...] = ()) -> Table:
+        t = self.get(name)
+        if set(drop) & set(t.key):
+            raise ValueError("key columns stay")
+        t.df = t.df.withColumns({c: F.lit(None).cast(k) for c, k in (add or {}).items()}).drop(*drop)
+        t.df.createOrReplaceTempView(name.replace(".", "_"))
+        return t
+
+    def create_index(self, name: str, table: str, columns: tuple[str, ...]) -> None:
+        """Kept as a note: scans are pruned by file statistics instead."""
+        self.get(table).indexes[name] = columns
+
+    def show(self) -> DataFrame:
+        return self.spark.createDataFrame([(t.name, ",".join(t.key)) for t in self.tables.values()], "name string, key string")
+
+    def describe(self, name: str) -> DataFrame:
+        t = self.get(name)
+        return self.spark.createDataFrame([(c, k, c in t.key) for c, k in t.df.dtypes], "column string, type string, in_key boolean")
+
+
+def strip_hints(sql: str) -> str:
+    """Index hints choose no path here."""
+    return re.sub(r"/\*\+.*?\*/", " ", sql, flags=re.DOTALL)
+
+
+def prepared(spark: SparkSession, sql: str, **values: object) -> DataFrame:
+    """A statement with external variables $x: ``declare $x type;`` lines are dropped, values are bound, not pasted."""
+    body = re.sub(r"^\s*declare\b[^;]*;(?:\s*\$\w+[^;]*;)*", "", strip_hints(sql), flags=re.IGNORECASE)
+    return spark.sql(re.sub(r"\$(\w+)", r":\1", body), args=values)
