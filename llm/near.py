@@ -195,7 +195,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set", bands
 
     # Bands with at least two nodes.
     rep = member.where("pid = node").select("pid")
-    band = one.join(rep, "pid", "left_semi").groupBy("pid").agg(F.min("bands").alias("bands")).select(F.col("pid").alias("node"), F.explode("bands").alias("bucket"))
+    band = one.join(rep, "pid", "left_semi").groupBy("pid").agg(F.min("bands").alias("bands")).select(F.col("pid").alias("node"), "bands", F.explode("bands").alias("bucket"))
     many = band.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("bucket")
     # Every band that is open: it may still hold pairs that have not been compared.
     open_ = kept(band.join(many, "bucket").withColumn("used", F.lit(False)), "bands")
@@ -205,7 +205,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set", bands
     # Elements that no other candidate has can be in no intersection; they bound the similarity of every pair.
     open_ = kept(_with_own(open_, held, threshold), "bands")
     labels = kept(wanted.select(F.col("pid").alias("node"), F.col("pid").alias("root")), "labels")
-    pivots, columns = PIVOTS, ("bucket", "node", "n", "own", "used")
+    pivots, columns = PIVOTS, ("bucket", "node", "bands", "n", "own", "used")
     while True:
         now = open_.join(labels, "node")
         size = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
@@ -213,17 +213,19 @@ def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set", bands
         main = size.groupBy("bucket").agg(F.max(F.struct("n", F.negative("root").alias("neg"))).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("bucket", F.negative("m.neg").alias("main"))
         now = now.join(main, "bucket").withColumn("stray", (F.col("root") != F.col("main")) & ~F.col("used"))
         left = now.groupBy("bucket").agg(F.count_if("stray").alias("strays"), F.min(F.struct("own", "node"))["node"].alias("origin")).where("strays > 0")
-        share = F.pmod(F.xxhash64("bucket", "node", F.lit(pivots)), F.lit(1 << 40)) / float(1 << 40)
+        share = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 40)) / float(1 << 40)
         # The first pivot is the node with the fewest elements of its own: the likely origin of a group of edited copies.
         chosen = F.col("stray") & (share < pivots / F.col("strays")) if pivots > PIVOTS else F.col("node") == F.col("origin")
         now = now.join(left, "bucket").withColumn("pivot", chosen)
         now = kept(now.withColumn("used", F.col("used") | F.col("pivot")).select(*columns, "root", "pivot"), "bands")
         if now.isEmpty():
             break
-        centre = now.where("pivot").select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), (F.col("n") - F.col("own")).alias("p_both"))
+        centre = now.where("pivot").select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), (F.col("n") - F.col("own")).alias("p_both"), F.col("bands").alias("p_bands"))
         most = F.least("p_both", F.col("n") - F.col("own"))  # common elements
         close = (F.col("p_root") != F.col("root")) & (most >= threshold * (F.col("n") + F.col("p_n") - most) - 1e-9)
-        pairs = centre.join(now.select("bucket", "node", "root", "n", "own"), "bucket").where(close).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+        # a pair belongs to the first of its common bands
+        first = F.col("p_bands")[F.array_position(F.zip_with("p_bands", "bands", lambda x, y: x == y), True) - 1] == F.col("bucket")
+        pairs = centre.join(now.select("bucket", "node", "root", "n", "own", "bands"), "bucket").where(close & first).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
         with_a = pairs.join(held.select(F.col("pid").alias("a"), F.col("elements").alias("x")), "a")
         both = with_a.join(held.select(F.col("pid").alias("b"), F.col("elements").alias("y")), "b")
         # lengths alone rule out many pairs
