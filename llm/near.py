@@ -6,9 +6,12 @@ belongs to a coordinate by its hash, and each coordinate keeps the dart of the s
 agree on a coordinate with the probability of their weighted Jaccard similarity. Signatures are cut into
 bands; documents with a common band are candidates, and the exact similarity of each candidate pair decides.
 
-Hot bands: documents with equal sets are one node first. Then every band compares its members with a few
-pivots only, and only where the elements that nobody else has leave room for a link; members that join the pivot's class need no more comparison. What is left is compared with
-four times as many pivots a round, until every pair of a band has been compared or is in one class, so no link
+Hot bands: documents with equal sets are one node first. Then every band compares its members with one pivot,
+its likely origin, where the elements that nobody else has leave room for a link; members that join the pivot's
+class need no more comparison. The nodes of bands that are not one class then meet by their rarest elements:
+ordered from rare to frequent, two sets with a link have a common element among their first ones, so pairs that
+share none of these are ruled out without being formed. The buckets of rare elements are compared in the same
+way, with four times as many pivots a round, until every pair has been compared or is in one class, so no link
 between classes is lost. A class is a connected component of links; class_id is its smallest doc_id.
 
 Cases: documents without words (null, empty) and with a null id are in no class but their own; fewer than five
@@ -23,7 +26,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -33,8 +36,9 @@ from llm.words import U, Words, blocks, mix, runs, signed, whole
 
 SHINGLE = 5
 BANDS, ROWS = 22, 4
-#: The smallest pivots of the first round; four times as many in each later one.
-PIVOTS = 1
+#: Pivots of a bucket of rare elements in its first round; four times as many in each later one.
+PIVOTS = 16
+SALTS = 8
 
 
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,20 +172,77 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _with_own(band: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
-    """Bands with n, the elements of the node, and own, how many of them no other node has; without nodes that can't have a link."""
+def _exploded(held: DataFrame) -> DataFrame:
+    """node, element for every element of the sets."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [np.frombuffer(x, U) for x in batch.column("elements").to_pylist()]
         n = np.array([len(x) for x in raw])
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("pid").to_numpy(), n)), pa.array(signed(np.concatenate(raw)))], ["node", "element"])
 
-    single = map_arrow(held, each, "node long, element long").groupBy("element").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
+    return map_arrow(held, each, "node long, element long")
+
+
+def _with_own(band: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Bands with n, the elements of the node, and own, how many of them no other node has; without nodes that can't have a link."""
+
+    single = _exploded(held).groupBy("element").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
     own = single.groupBy("node").agg(F.count("*").alias("own"))
     size = held.select(F.col("pid").alias("node"), (F.length("elements") / 8).cast("long").alias("n")).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     return band.join(size.where(F.col("n") - F.col("own") >= threshold * F.col("n")), "node")
 
 
+def _strays(open_: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets that may still hold pairs to compare, with root, stray and strays.
+
+    The largest class of a bucket is its main one; all others are strays, which must be compared with
+    everything outside their class, unless they have been used as pivots.
+    """
+    now = open_.join(labels, "node")
+    size = now.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    main = size.groupBy("bucket").agg(F.max(F.struct("size", F.negative("root").alias("neg"))).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("bucket", F.negative("m.neg").alias("main"))
+    now = now.join(main, "bucket").withColumn("stray", (F.col("root") != F.col("main")) & ~F.col("used")).drop("main")
+    return now.join(now.groupBy("bucket").agg(F.count_if("stray").alias("strays")).where("strays > 0"), "bucket")
+
+
+def _links(now: DataFrame, held: DataFrame, threshold: float, extra: str, meet: F.Column) -> DataFrame:
+    """a, b, ra, rb: the links between the pivots of a bucket and its other classes, for pairs that meet."""
+    centre = now.where("pivot").select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), (F.col("n") - F.col("own")).alias("p_both"), F.col(extra).alias(f"p_{extra}"))
+    most = F.least("p_both", F.col("n") - F.col("own"))  # common elements
+    close = (F.col("p_root") != F.col("root")) & (most >= threshold * (F.col("n") + F.col("p_n") - most) - 1e-9)
+    swap = F.col("p") > F.col("node")
+    one, two = F.struct(F.col("p").alias("id"), F.col("p_root").alias("root")), F.struct(F.col("node").alias("id"), F.col("root"))
+    found = centre.join(now.drop("pivot", "used"), "bucket").where(close & meet).select(F.when(swap, two).otherwise(one).alias("one"), F.when(swap, one).otherwise(two).alias("two"))
+    pairs = found.select(F.col("one.id").alias("a"), F.col("one.root").alias("ra"), F.col("two.id").alias("b"), F.col("two.root").alias("rb")).distinct()
+    with_a = pairs.join(held.select(F.col("pid").alias("a"), F.col("elements").alias("x")), "a")
+    both = with_a.join(held.select(F.col("pid").alias("b"), F.col("elements").alias("y")), "b")
+    # lengths alone rule out many pairs
+    fits = F.least(F.length("x"), F.length("y")) >= threshold * F.greatest(F.length("x"), F.length("y"))
+    return kept(both.where(fits).withColumn("s", similarity("x", "y")).where(F.col("s") >= threshold).select("a", "b", "ra", "rb"), "links")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, root) after the classes that a link joins become one."""
+    if links.isEmpty():
+        return labels
+    moved = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return kept(labels.join(moved.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root")), "labels")
+
+
+def _rarest(held: DataFrame, threshold: float) -> DataFrame:
+    """bucket (an element), node, pos: the rarest elements of each node that another node has, with their place by rarity.
+
+    Of two sets with a link, the rarest common element is at a place before n - ceil(threshold * n) + 1 in both.
+    """
+    rows = _exploded(held)
+    # A hot element's rows are spread over SALTS keys; elements of one node alone need no row.
+    times = rows.groupBy("element").agg(F.count("*").alias("times")).where("times > 1").select("element", "times", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(times, ["element", "salt"], "left")
+    own = Window.partitionBy("node")
+    rows = rows.withColumn("pos", F.row_number().over(own.orderBy(F.coalesce("times", F.lit(1)), "element")) - 1).withColumn("size", F.count("*").over(own))
+    return rows.where(F.col("times").isNotNull() & (F.col("pos") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9))).select(F.col("element").alias("bucket"), "node", "pos")
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id for every row of docs (doc_id, text).
 
@@ -205,39 +266,31 @@ def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set", bands
     # Elements that no other candidate has can be in no intersection; they bound the similarity of every pair.
     open_ = kept(_with_own(open_, held, threshold), "bands")
     labels = kept(wanted.select(F.col("pid").alias("node"), F.col("pid").alias("root")), "labels")
-    pivots, columns = PIVOTS, ("bucket", "node", "bands", "n", "own", "used")
+    # Round 1 compares every band with its likely origin: the node with the fewest elements of its own.
+    now = _strays(open_, labels)
+    origin = now.groupBy("bucket").agg(F.min(F.struct("own", "node"))["node"].alias("origin"))
+    now = kept(now.join(origin, "bucket").withColumn("pivot", F.col("node") == F.col("origin")).withColumn("used", F.col("pivot")).drop("origin", "stray", "strays"), "bands")
+    # a pair belongs to the first of its common bands
+    first = F.col("p_bands")[F.array_position(F.zip_with("p_bands", "bands", lambda x, y: x == y), True) - 1] == F.col("bucket")
+    labels = _merged(labels, _links(now, held, threshold, "bands", first))
+
+    # Later rounds: the nodes of bands that still hold strays meet by their rarest elements.
+    rest = kept(_strays(now.drop("root", "pivot"), labels).select("node", "n", "own").distinct(), "rest")
+    held = kept(held.join(rest.select(F.col("node").alias("pid")), "pid", "left_semi"), "sets")
+    open_ = kept(_rarest(held, threshold).join(rest, "node").withColumn("used", F.lit(False)), "rarest")
+    need = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("p_n")) - 1e-9)
+    early = (F.col("pos") <= F.col("n") - need) & (F.col("p_pos") <= F.col("p_n") - need)
+    pivots = PIVOTS
     while True:
-        now = open_.join(labels, "node")
-        size = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        # The largest class of a band; all others are strays, which must be compared with everything outside their class.
-        main = size.groupBy("bucket").agg(F.max(F.struct("n", F.negative("root").alias("neg"))).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("bucket", F.negative("m.neg").alias("main"))
-        now = now.join(main, "bucket").withColumn("stray", (F.col("root") != F.col("main")) & ~F.col("used"))
-        left = now.groupBy("bucket").agg(F.count_if("stray").alias("strays"), F.min(F.struct("own", "node"))["node"].alias("origin")).where("strays > 0")
+        now = _strays(open_, labels)
         share = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 40)) / float(1 << 40)
-        # The first pivot is the node with the fewest elements of its own: the likely origin of a group of edited copies.
-        chosen = F.col("stray") & (share < pivots / F.col("strays")) if pivots > PIVOTS else F.col("node") == F.col("origin")
-        now = now.join(left, "bucket").withColumn("pivot", chosen)
-        now = kept(now.withColumn("used", F.col("used") | F.col("pivot")).select(*columns, "root", "pivot"), "bands")
+        now = now.withColumn("pivot", F.col("stray") & (share < pivots / F.col("strays")))
+        now = kept(now.withColumn("used", F.col("used") | F.col("pivot")).drop("stray", "strays"), "rarest")
         if now.isEmpty():
             break
-        centre = now.where("pivot").select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), (F.col("n") - F.col("own")).alias("p_both"), F.col("bands").alias("p_bands"))
-        most = F.least("p_both", F.col("n") - F.col("own"))  # common elements
-        close = (F.col("p_root") != F.col("root")) & (most >= threshold * (F.col("n") + F.col("p_n") - most) - 1e-9)
-        # a pair belongs to the first of its common bands
-        first = F.col("p_bands")[F.array_position(F.zip_with("p_bands", "bands", lambda x, y: x == y), True) - 1] == F.col("bucket")
-        pairs = centre.join(now.select("bucket", "node", "root", "n", "own", "bands"), "bucket").where(close & first).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        with_a = pairs.join(held.select(F.col("pid").alias("a"), F.col("elements").alias("x")), "a")
-        both = with_a.join(held.select(F.col("pid").alias("b"), F.col("elements").alias("y")), "b")
-        # lengths alone rule out many pairs
-        fits = F.least(F.length("x"), F.length("y")) >= threshold * F.greatest(F.length("x"), F.length("y"))
-        links = kept(both.where(fits).withColumn("s", similarity("x", "y")).where(F.col("s") >= threshold).select("a", "b"), "links")
-        open_ = now.select(*columns)
+        labels = _merged(labels, _links(now, held, threshold, "pos", early))
+        open_ = now.drop("root", "pivot")
         pivots *= 4
-        if links.isEmpty():
-            continue
-        ends = links.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        moved = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        labels = kept(labels.join(moved.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root")), "labels")
 
     of = member.join(labels, "node", "left").select("pid", F.coalesce("root", "node").alias("class_id"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(of.withColumnRenamed("pid", "doc_id"), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
