@@ -256,10 +256,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set", bands
 
     # Bands with at least two nodes.
     rep = member.where("pid = node").select("pid")
-    band = one.join(rep, "pid", "left_semi").groupBy("pid").agg(F.min("bands").alias("bands")).select(F.col("pid").alias("node"), "bands", F.explode("bands").alias("bucket"))
+    own = one.join(rep, "pid", "left_semi").groupBy(F.col("pid").alias("node")).agg(F.min("bands").alias("bands"))
+    band = own.select("node", F.explode("bands").alias("bucket"))
     many = band.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("bucket")
     # Every band that is open: it may still hold pairs that have not been compared.
-    open_ = kept(band.join(many, "bucket").withColumn("used", F.lit(False)), "bands")
+    open_ = kept(band.join(many, "bucket").join(own, "node").withColumn("used", F.lit(False)), "bands")
     wanted = open_.select(F.col("node").alias("pid")).distinct()
     held = kept(sets(base.join(wanted, "pid", "left_semi").groupBy("pid").agg(F.min("text").alias("text")), weights), "sets")
 
