@@ -66,6 +66,23 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_repeats": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            one AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+            p AS (SELECT doc_id, pos, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS words FROM one),
+            r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY md5(array_to_string(words, ' ')) ORDER BY doc_id, pos) AS nth FROM p WHERE len(words) = 20),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM r WHERE nth > 1),
+            kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM one ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+            SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+        "op5_near": r"""
+            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS pos FROM d WHERE len(w) > 0),
+            s AS (SELECT DISTINCT doc_id, array_to_string(w[pos:pos + 4], ' ') AS shingle FROM p),
+            n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+            c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+            links AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 5 * common >= 4 * (na.size + nb.size - common)),
+            reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+            SELECT doc_id, least(doc_id, min(b)) AS class_id FROM d LEFT JOIN reach ON a = doc_id GROUP BY doc_id""",
         "op6_topk": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS e FROM embeddings
                        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -73,4 +90,14 @@ def oracle_sql() -> dict[str, str]:
                   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+        "op7_warc": r"""
+            WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+            h AS (SELECT *, sha1(html) AS sha, min(page_id) OVER (PARTITION BY html) AS of, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www[.]', '') AS host,
+                  regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*([?][^#]+)', 1) AS query FROM p),
+            b AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(sha, (5 * k + 1)::INTEGER, 5))::BIGINT) AS fives FROM h)
+            SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+                   array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((fives[j // 4 + 1] >> (15 - 5 * (j % 4))::INTEGER) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+                   CASE WHEN page_id = of THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> of THEN of END AS refers_to,
+                   CASE WHEN url = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || query END AS url_key,
+                   '1970-01-01T00:00:00Z' AS captured FROM b""",
     }
