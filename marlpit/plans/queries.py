@@ -306,3 +306,115 @@ def row_properties(spark, d):
 def geo_distance(spark, d):
     point = lambda x, y: F.concat(F.lit('{"type":"Point","coordinates":['), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]}"))
     return read(spark, d, "supplier").select("s_suppkey", F.round(R.geo_distance(point(c("s_suppkey") % 90, c("s_suppkey") % 60), point(F.lit(20), c("s_nationkey") + 10)), 2).alias("metres"))
+
+
+# --- further functions and operators ---
+
+
+@query("""SELECT c_custkey, ltrim('  ' || c_name || ' ') AS l, rtrim(' ' || c_name || '  ') AS r, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE '' END || c_name AS con,
+          CASE WHEN strpos(substr(c_name, 6), '0') = 0 THEN -1 ELSE strpos(substr(c_name, 6), '0') + 4 END::INTEGER AS at, CASE WHEN length(c_name) > 12 THEN substr(c_name, 13) END AS tail FROM customer""")
+def trims_and_places(spark, d):
+    n = c("c_name")
+    return read(spark, d, "customer").select("c_custkey", S.ltrim(F.concat(F.lit("  "), n, F.lit(" "))).alias("l"), S.rtrim(F.concat(F.lit(" "), n, F.lit("  "))).alias("r"), S.concat(F.when(c("c_acctbal") > 0, c("c_mktsegment")), n).alias("con"), S.index_of(n, "0", 5).alias("at"), S.substring(n, 12).alias("tail"))
+
+
+@query("""WITH e AS (SELECT event_id, ts, epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-15') // 1000 AS ms FROM events),
+          p AS (SELECT *, abs(ms) // 86400000 AS d, abs(ms) // 3600000 % 24 AS h, abs(ms) // 60000 % 60 AS m, abs(ms) // 1000 % 60 AS s, abs(ms) % 1000 AS u FROM e)
+          SELECT event_id, CASE WHEN ms = 0 THEN '0 second' ELSE CASE WHEN ms < 0 THEN '-' ELSE '' END || concat_ws(' ', CASE WHEN d > 0 THEN d || ' day' || CASE WHEN d > 1 THEN 's' ELSE '' END END, CASE WHEN h > 0 THEN h || ' hour' || CASE WHEN h > 1 THEN 's' ELSE '' END END,
+          CASE WHEN m > 0 THEN m || ' minute' || CASE WHEN m > 1 THEN 's' ELSE '' END END, CASE WHEN s > 0 THEN s || ' second' || CASE WHEN s > 1 THEN 's' ELSE '' END END, CASE WHEN u > 0 THEN u || ' millisecond' || CASE WHEN u > 1 THEN 's' ELSE '' END END) END AS took,
+          date_trunc('day', ts) - to_days(dayofweek(ts)::INTEGER) AS sunday, date_trunc('week', ts)::TIMESTAMP AS monday, date_trunc('minute', ts) AS again FROM p""")
+def durations(spark, d):
+    t = c("ts")
+    again = T.parse_to_timestamp(T.format_timestamp(t, "yyyy/MM/dd HH:mm"), "yyyy/MM/dd HH:mm")
+    return read(spark, d, "events").select("event_id", T.get_duration(T.timestamp_diff(t, F.lit("2024-01-15"))).alias("took"), T.timestamp_floor(t, "week").alias("sunday"), T.timestamp_floor(t, "iweek").alias("monday"), again.alias("again"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(ln(l_extendedprice) / ln(l_quantity + 1), 6) AS lg, round(1 / tan(l_quantity), 6) AS ct, round(asin(l_discount) + acos(l_tax) + atan(l_quantity), 6) AS arc,
+          trunc(l_extendedprice / 100) * 100 AS tr, CASE WHEN l_discount = 0 THEN 'Infinity'::DOUBLE ELSE l_quantity / l_discount END AS ra, round(l_quantity / 4) AS ro FROM lineitem""")
+def math_more(spark, d):
+    q, e, di = c("l_quantity"), c("l_extendedprice"), c("l_discount")
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(M.log(e, q + 1), 6).alias("lg"), F.round(M.cot(q), 6).alias("ct"), F.round(F.asin(di) + F.acos("l_tax") + F.atan(q), 6).alias("arc"), M.trunc(e, -2).alias("tr"), M.rdiv(q, di).alias("ra"), M.round_(q / 4).alias("ro"))
+
+
+@query("""SELECT p_partkey, len(w)::INTEGER AS n, len(list_filter(w, lambda x: length(x) > 6)) > 0 AS any_long, list_concat(w, [p_brand, p_type]) AS more, list_min(list_filter(w, lambda x: length(x) > 4)) AS low, list_max(w) AS high
+          FROM (SELECT *, string_split(p_name, ' ') AS w FROM part)""")
+def sequence_steps(spark, d):
+    w = F.split("p_name", " ")
+    long_ = Q.filter_step(w, lambda x, _: F.char_length(x) > 6)
+    return read(spark, d, "part").select("p_partkey", Q.size(w).alias("n"), Q.exists(long_).alias("any_long"), Q.seq_concat(w, F.array("p_brand", "p_type")).alias("more"), Q.seq_min_i(F.transform(w, lambda x: F.when(F.char_length(x) > 4, x))).alias("low"), Q.seq_max_i(w).alias("high"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 10 THEN ['size', 'brand_length'] ELSE ['brand_length'] END AS ks, CASE WHEN p_size > 10 THEN [p_size, length(p_brand)] ELSE [length(p_brand)] END AS vs,
+          ['brand_length', 'more'] AS put_keys, [length(p_brand), 1] AS put_values FROM part WHERE length(p_brand) > 0""")
+def map_steps(spark, d):
+    m = F.create_map(F.lit("size"), c("p_size"), F.lit("brand_length"), F.char_length("p_brand"))
+    keep = lambda k, v: (k != "size") | (v > 10)
+    edited = dml.map_remove(dml.map_put(m, F.create_map(F.lit("more"), F.lit(1))), "size")
+    return read(spark, d, "part").where("length(p_brand) > 0").select("p_partkey", Q.keys(m, keep).alias("ks"), Q.values(m, keep).alias("vs"), Q.keys(edited).alias("put_keys"), Q.values(edited).alias("put_values"))
+
+
+@query("SELECT s_suppkey, 'nation' AS name, s_nationkey::DOUBLE AS amount FROM supplier UNION ALL SELECT s_suppkey, 'balance', s_acctbal FROM supplier")
+def unnest_map_entries(spark, d):
+    entries = F.create_map(F.lit("nation"), c("s_nationkey").cast("double"), F.lit("balance"), c("s_acctbal"))
+    return joins.unnest_map(read(spark, d, "supplier"), entries, "name", "amount").select("s_suppkey", "name", "amount")
+
+
+@query("""SELECT p_partkey, list_concat(['first'], w) AS front, list_concat(w, [p_brand]) AS back, list_concat(w[1:1], w[3:]) AS fewer FROM (SELECT *, string_split(p_name, ' ') AS w FROM part)""")
+def array_edits(spark, d):
+    w = F.split("p_name", " ")
+    return read(spark, d, "part").select("p_partkey", dml.array_add(w, F.lit("first"), 0).alias("front"), dml.array_add(w, c("p_brand")).alias("back"), dml.array_remove_at(w, 1).alias("fewer"))
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT l_orderkey, sum(l_extendedprice) FROM lineitem WHERE l_linenumber = 1 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey""")
+def insert_absent(spark, d):
+    old = read(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+    new = read(spark, d, "lineitem").where("l_linenumber = 1").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("o_totalprice"))
+    return dml.insert(old, new, ["o_orderkey"])
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal, s_nationkey FROM supplier""")
+def put_if_version(spark, d):
+    s = read(spark, d, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
+    now = F.md5(F.concat_ws("|", "s_suppkey", "s_nationkey"))
+    new = s.withColumn("expected", F.when(c("s_nationkey") % 2 == 0, now).otherwise("stale")).withColumn("s_acctbal", F.lit(0.0))
+    return dml.put_if_version(s, new, ["s_suppkey"], now)
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1")
+def bulk_load_duplicates(spark, d):
+    return dml.duplicates(read(spark, d, "events").select("user_id", "event_id"), ["user_id"], c("event_id"))
+
+
+@query("""WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id)
+          SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM l) UNION ALL SELECT user_id, value FROM l WHERE event_type <> 'click'""")
+def apply_changes(spark, d):
+    op = F.when(c("event_type") == "click", "delete").otherwise("put")
+    e = read(spark, d, "events").select(c("user_id").alias("c_custkey"), c("value").alias("c_acctbal"), op.alias("op"), "ts", c("event_id").alias("region"))
+    return changes.apply_changes(read(spark, d, "customer").select("c_custkey", "c_acctbal"), e, ["c_custkey"])
+
+
+@query("""SELECT event_id, json_type(props::JSON, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AS num, CASE WHEN props IS NULL THEN 0 WHEN json_extract(props, '$.none') IS NULL THEN 1 ELSE 2 END AS kind FROM events WHERE json_exists(props::JSON, '$.k')""")
+def json_kinds(spark, d):
+    v = J.parse_json(c("props"))
+    nothing = J.null_kind(v, "$.none")
+    rows = read(spark, d, "events").where(J.null_kind(v, "$.k") != J.EMPTY)
+    return rows.select("event_id", J.is_of_type(F.try_variant_get(v, "$.k", "variant"), "number").alias("num"), F.when(nothing == J.SQL_NULL, 0).when(nothing == J.EMPTY, 1).otherwise(2).alias("kind"))
+
+
+@query("SELECT o_orderkey, floor((epoch_ms(date_trunc('day', o_orderdate)::TIMESTAMP + INTERVAL 31 DAY) - epoch_ms(TIMESTAMP '1996-01-01')) / 86400000)::INTEGER AS days, floor((epoch_ms(date_trunc('day', o_orderdate)::TIMESTAMP + INTERVAL 31 DAY) - epoch_ms(TIMESTAMP '1996-01-01')) / 3600000)::INTEGER AS hours FROM orders")
+def remaining_time(spark, d):
+    now = F.lit("1996-01-01").cast("timestamp")
+    return R.with_meta(read(spark, d, "orders"), ["o_orderkey"], c("o_orderdate"), 30).select("o_orderkey", R.remaining_days(now).alias("days"), R.remaining_hours(now).alias("hours"))
+
+
+@query("SELECT c_nationkey, list_sort(list(c_custkey)) AS keys, count(*) AS numbers FROM customer GROUP BY c_nationkey")
+def collect_regroup(spark, d):
+    part = read(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(grouping.array_collect(c("c_custkey")).alias("part"), grouping.count_numbers(c("c_custkey").cast("string")).alias("n"))
+    return part.groupBy("c_nationkey").agg(grouping.collect_regroup(c("part")).alias("keys"), F.sum("n").alias("numbers"))
+
+
+@query("""SELECT n_name, c_custkey, o_orderkey FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE r_regionkey = 1""")
+def mixed_joins(spark, d):
+    n, r, cu, o = (read(spark, d, t) for t in ("nation", "region", "customer", "orders"))
+    inside = joins.inner(joins.inner(n, r.where("r_regionkey = 1"), n.n_regionkey == r.r_regionkey), cu, n.n_nationkey == cu.c_nationkey)
+    return joins.left_outer(inside, o.where("o_orderstatus = 'P'"), cu.c_custkey == o.o_custkey).select("n_name", "c_custkey", "o_orderkey")
