@@ -9,7 +9,7 @@ Words are runs of letters and digits in lower case, so punctuation and line brea
 
 Cases: null and empty texts, and items of fewer than SEED words, are in no pair; ties between tiles: the one
 that starts first in the item, then in the document; repeated rows of a document give repeated pairs, repeated
-items of one id count once each text; other columns are ignored by ``leaks`` and kept by ``clean``; empty tables: nothing is leaked.
+items of one id count once each text; an item with a null id is judged like others and named by null; other columns are ignored by ``leaks`` and kept by ``clean``; empty tables: nothing is leaked.
 """
 
 from __future__ import annotations
@@ -35,14 +35,14 @@ BLOCK_WORDS = 1_000_000  # of benchmark items sent at once
 class Items:
     """A block of benchmark items: word hashes, and the seeds of each in order of their hashes."""
 
-    ids: list[int]
+    ids: list[int | None]
     words: list[np.ndarray]
     seeds: np.ndarray
     item: np.ndarray  # of each seed
     place: np.ndarray
 
 
-def index(rows: list[tuple[int, str | None]]) -> Items:
+def index(rows: list[tuple[int | None, str | None]]) -> Items:
     ids, words, seeds, item, place = [], [], [], [], []
     if rows:
         for row, end, w in blocks(pc.utf8_lower(pa.array([t for _, t in rows], pa.string())), _MARKS):
@@ -140,7 +140,8 @@ def _blocks_of(benchmark: DataFrame, words: int) -> list[Items]:
     total = own.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-int(total) // (6 * words)))
     by = own.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [index(sorted((r["item_id"], r["text"]) for r in by.where(F.col("block") == b).select("item_id", "text").collect())) for b in range(n)]
+    order = lambda item: (item[0] is not None, item[0] or 0, item[1])  # noqa: E731  a null id is the smallest
+    return [index(sorted(((r["item_id"], r["text"]) for r in by.where(F.col("block") == b).select("item_id", "text").collect()), key=order)) for b in range(n)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
