@@ -9,8 +9,8 @@ The seen grams are sent to all tasks, which make a table of one float for each o
 neither grows beyond that with the input. Counts and quantiles come from all documents.
 
 Cases: a null or empty text has no symbols, no perplexity, and is kept; a short text is given the benefit
-of its sampling error; a language with fewer than LEAST_DOCS trusted documents (also null) uses the quantile over all
-languages; without trusted documents all are kept; rows with the same id are scored each for itself, and are
+of its sampling error; a language is judged by its own trusted documents only, so documents of a null language, and of
+one with fewer than LEAST_DOCS trusted ones, have no threshold and are kept; without trusted documents all are kept; rows with the same id are scored each for itself, and are
 trusted if a label says so; conflicting labels: the lowest quality counts; an empty table gives an empty result.
 """
 
@@ -211,19 +211,18 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 class Classifier:
-    """A fitted model and the largest lm_low that is kept, by language; None for all other languages."""
+    """A fitted model and the largest lm_low that is kept, by language; all other languages are kept."""
 
-    def __init__(self, model: Model | None, limits: dict[str | None, float]) -> None:
+    def __init__(self, model: Model | None, limits: dict[str, float]) -> None:
         self.model, self.limits = model, limits
 
     def decide(self, docs: DataFrame) -> DataFrame:
         """docs with lm_symbols, lm_perplexity, lm_threshold (a perplexity too) and lm_keep."""
         if self.model is None:
             return docs.withColumns({"lm_symbols": F.length("text").cast("long"), "lm_perplexity": F.lit(None).cast("double"), "lm_threshold": F.lit(None).cast("double"), "lm_keep": F.lit(True)})
-        limit = F.lit(self.limits[None])
+        limit = F.lit(None).cast("double")
         for lang, x in self.limits.items():
-            if lang is not None:
-                limit = F.when(F.col("lang") == lang, x).otherwise(limit)
+            limit = F.when(F.col("lang") == lang, x).otherwise(limit)
         scored = with_scores(docs, self.model).withColumn("lm_limit", limit)
         return scored.withColumns({"lm_perplexity": F.exp("lm_loss"), "lm_threshold": F.exp("lm_limit"), "lm_keep": F.coalesce(F.col("lm_low") <= F.col("lm_limit"), F.lit(True))}).drop("lm_loss", "lm_low", "lm_limit")
 
@@ -236,10 +235,8 @@ def classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
         return Classifier(None, {})
     low = kept(with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), model).drop("text"), "scores").join(trusted_ids(labels), "doc_id", "left_semi").where("lm_symbols > 0")
     q = F.percentile_approx("lm_low", quantile, 10_000).alias("q")
-    limits: dict[str | None, float] = {None: (low.agg(q).first()["q"] or 0.0) + MARGIN}
-    for r in low.where("lang IS NOT NULL").groupBy("lang").agg(q, F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).collect():
-        limits[r["lang"]] = r["q"] + MARGIN
-    return Classifier(model, limits)
+    rows = low.where("lang IS NOT NULL").groupBy("lang").agg(q, F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).collect()
+    return Classifier(model, {r["lang"]: r["q"] + MARGIN for r in rows})
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -1,0 +1,20 @@
+"""Cases where an operator once did less than its whole job."""
+
+import random
+
+from llm import lm
+
+DOCS = "doc_id long, text string, lang string"
+
+
+def test_rare_language_is_not_judged_by_the_dominant_one(spark):
+    rng = random.Random(4)
+    say = lambda words: " ".join(rng.choice(words) for _ in range(80))
+    en, rare = "the cat sat on a mat and ran to that dog".split(), "größe über zwölf jahr schön könig völker ohne quälgeist".split()
+    rows = [(i, say(en), "en") for i in range(80)] + [(100 + i, say(rare), "de") for i in range(20)] + [(200 + i, say(rare), None) for i in range(5)] + [(300, "&&& %%% ### $$$ ||| *** " * 20, "en")]
+    docs = spark.createDataFrame(rows, DOCS)
+    for trusted in (0, 3):
+        good = [(i, 1, 0) for i in [*range(80), *range(100, 100 + trusted)]]
+        found = lm.classify(docs, spark.createDataFrame(good, "doc_id long, quality int, toxic int"))
+        assert {r.doc_id for r in found.where("not keep").collect()} == {300}
+        assert found.where("lang is null or lang = 'de'").where("threshold is not null").count() == 0
