@@ -4,13 +4,16 @@ Symbols are characters folded into at most 64 classes; the model has four of the
 the grams of its trusted documents; the counts are summed in shards by gram and joined, order by order, with
 the totals and continuation counts of their contexts. A document's perplexity is the mean over all its grams,
 and it is rejected where the perplexity is above a quantile of the trusted documents' perplexities in its language.
+Documents are in two folds by a hash of their id and each is scored by the model of the other fold, so no trusted
+document is scored by a model that has seen it and the quantile needs no margin.
 
-The seen grams are sent to all tasks, which make a table of one float for each of the 64**4 grams (64 MiB):
+The seen grams are sent to all tasks, which make a table of one float for each of the 64**4 grams (64 MiB a fold):
 neither grows beyond that with the input. Counts and quantiles come from all documents.
 
 Cases: a null or empty text has no symbols, no perplexity, and is kept; a short text is given the benefit
 of its sampling error; a language is judged by its own trusted documents only, so documents of a null language, and of
-one with fewer than LEAST_DOCS trusted ones, have no threshold and are kept; without trusted documents all are kept; rows with the same id are scored each for itself, and are
+one with fewer than LEAST_DOCS trusted ones, have no threshold and are kept; without trusted documents all are kept; where only one fold has trusted text, its model scores all;
+a document labelled toxic is not trusted; rows with the same id are scored each for itself, and are
 trusted if a label says so; conflicting labels: the lowest quality counts; an empty table gives an empty result.
 """
 
@@ -29,7 +32,6 @@ from llm.common import kept, map_arrow
 ORDER, BITS = 4, 6
 SIZE = 1 << (ORDER * BITS)
 QUANTILE = 0.99
-MARGIN = 0.1  # above the quantile, in nats a symbol
 ERRORS = 3.0  # standard errors that a text is given
 LEAST_DOCS = 50
 START = 63
@@ -73,15 +75,19 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """gram, n: a row for each gram of each batch of docs (text)."""
+    """fold, gram, n: a row for each gram of each fold of each batch of docs (fold, text)."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.unique(grams(run)[0], return_counts=True) for run in pieces(batch.column("text").to_pylist())]
-        gram, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([x for _, x in found]), minlength=len(gram))
-        return pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int32)), pa.array(n.astype(np.int64))], ["gram", "n"])
+        out = []
+        folds = batch.column("fold").to_numpy()
+        for fold in np.unique(folds):
+            found = [np.unique(grams(run)[0], return_counts=True) for run in pieces(batch.column("text").filter(pa.array(folds == fold)).to_pylist())]
+            gram, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([x for _, x in found]), minlength=len(gram))
+            out.append((np.full(len(gram), fold, np.int32), gram.astype(np.int32), n.astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["fold", "gram", "n"])
 
-    return map_arrow(docs.select("text"), each, "gram int, n long")
+    return map_arrow(docs.select(F.col("fold").cast("int").alias("fold"), "text"), each, "fold int, gram int, n long")
 
 
 def _totals(table: DataFrame) -> DataFrame:
@@ -145,9 +151,27 @@ class Model:
         return self._table
 
 
+def fold_of(column: str = "doc_id") -> F.Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(2)).cast("int")
+
+
 def fit(trusted: DataFrame) -> Model | None:
     """The model of trusted (text); None without any symbol."""
-    table = kept(counts(trusted).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    return _fitted(_summed(trusted.withColumn("fold", F.lit(0))).drop("fold"))
+
+
+def fit_folds(trusted: DataFrame) -> tuple[Model, Model] | None:
+    """The models that score fold 0 and fold 1, each of the other fold's trusted (fold, text); None without any symbol."""
+    table = _summed(trusted)
+    zero, one = (_fitted(table.where(F.col("fold") == f).drop("fold")) for f in (0, 1))
+    return (one or zero, zero or one) if zero or one else None
+
+
+def _summed(trusted: DataFrame) -> DataFrame:
+    return kept(counts(trusted).groupBy("fold", "gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def _fitted(table: DataFrame) -> Model | None:
     if table.isEmpty():
         return None
     levels = []
@@ -176,10 +200,12 @@ def pieces(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str |
         yield run
 
 
-def score_texts(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: symbols, mean of minus log probability, its standard error."""
+def score_texts(texts: list[str | None], folds: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: symbols, mean of minus log probability by its fold's table, its standard error."""
     code, text = grams(texts)
-    loss = table[code].astype(np.float64)
+    second = folds[text] == 1
+    loss = np.empty(len(code))
+    loss[second], loss[~second] = tables[1][code[second]], tables[0][code[~second]]
     n = np.bincount(text, minlength=len(texts))
     some = np.maximum(n, 1)
     mean = np.bincount(text, weights=loss, minlength=len(texts)) / some
@@ -187,56 +213,61 @@ def score_texts(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray,
     return n, mean, np.sqrt(spread / some)
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lm_symbols, lm_loss (nats a symbol) and lm_low (lm_loss less ERRORS standard errors)."""
+def with_scores(docs: DataFrame, models: tuple[Model, Model]) -> DataFrame:
+    """docs (doc_id, text) with lm_symbols, lm_loss (nats a symbol) and lm_low (lm_loss less ERRORS standard errors)."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(models)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = sent.value.table()
-        n, mean, error = (np.concatenate(x) for x in zip(*(score_texts(run, table) for run in pieces(batch.column("text").to_pylist())), strict=True))
+        tables = tuple(m.table() for m in sent.value)
+        folds, scored, at = batch.column("lm_fold").to_numpy(), [], 0
+        for run in pieces(batch.column("text").to_pylist()):
+            scored.append(score_texts(run, folds[at : at + len(run)], tables))
+            at += len(run)
+        n, mean, error = (np.concatenate(x) for x in zip(*scored, strict=True))
         null = n == 0
+        batch = batch.drop_columns(["lm_fold"])
         more = [pa.array(n.astype(np.int64)), pa.array(mean, mask=null), pa.array(mean - ERRORS * error, mask=null)]
         return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lm_symbols", "lm_loss", "lm_low"])
 
     schema = StructType(list(docs.schema.fields))
     for c, t in (("lm_symbols", "long"), ("lm_loss", "double"), ("lm_low", "double")):
         schema = schema.add(c, t)
-    return map_arrow(docs, each, schema)
+    return map_arrow(docs.withColumn("lm_fold", fold_of()), each, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Documents that are labelled good."""
-    return labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    """Documents that are labelled good, and never toxic."""
+    return labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND coalesce(t, 0) <> 1").select("doc_id")
 
 
 class Classifier:
-    """A fitted model and the largest lm_low that is kept, by language; all other languages are kept."""
+    """The fitted models and the largest lm_low that is kept, by language; all other languages are kept."""
 
-    def __init__(self, model: Model | None, limits: dict[str, float]) -> None:
-        self.model, self.limits = model, limits
+    def __init__(self, models: tuple[Model, Model] | None, limits: dict[str, float]) -> None:
+        self.models, self.limits = models, limits
 
     def decide(self, docs: DataFrame) -> DataFrame:
         """docs with lm_symbols, lm_perplexity, lm_threshold (a perplexity too) and lm_keep."""
-        if self.model is None:
+        if self.models is None:
             return docs.withColumns({"lm_symbols": F.length("text").cast("long"), "lm_perplexity": F.lit(None).cast("double"), "lm_threshold": F.lit(None).cast("double"), "lm_keep": F.lit(True)})
         limit = F.lit(None).cast("double")
         for lang, x in self.limits.items():
             limit = F.when(F.col("lang") == lang, x).otherwise(limit)
-        scored = with_scores(docs, self.model).withColumn("lm_limit", limit)
+        scored = with_scores(docs, self.models).withColumn("lm_limit", limit)
         return scored.withColumns({"lm_perplexity": F.exp("lm_loss"), "lm_threshold": F.exp("lm_limit"), "lm_keep": F.coalesce(F.col("lm_low") <= F.col("lm_limit"), F.lit(True))}).drop("lm_loss", "lm_low", "lm_limit")
 
 
 def classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Classifier:
-    """The model from all trusted documents, and the quantiles of all their perplexities."""
+    """The models from all trusted documents, and the quantiles of all their perplexities."""
     good = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi")  # the same plan at every size
-    model = fit(good)
-    if model is None:
+    models = fit_folds(good.withColumn("fold", fold_of()))
+    if models is None:
         return Classifier(None, {})
-    low = kept(with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), model).drop("text"), "scores").join(trusted_ids(labels), "doc_id", "left_semi").where("lm_symbols > 0")
+    low = kept(with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), models).drop("text"), "scores").join(trusted_ids(labels), "doc_id", "left_semi").where("lm_symbols > 0")
     q = F.percentile_approx("lm_low", quantile, 10_000).alias("q")
     rows = low.where("lang IS NOT NULL").groupBy("lang").agg(q, F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).collect()
-    return Classifier(model, {r["lang"]: r["q"] + MARGIN for r in rows})
+    return Classifier(models, {r["lang"]: r["q"] for r in rows})
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -18,3 +18,15 @@ def test_rare_language_is_not_judged_by_the_dominant_one(spark):
         found = lm.classify(docs, spark.createDataFrame(good, "doc_id long, quality int, toxic int"))
         assert {r.doc_id for r in found.where("not keep").collect()} == {300}
         assert found.where("lang is null or lang = 'de'").where("threshold is not null").count() == 0
+
+
+def test_trusted_documents_are_scored_held_out_and_toxic_ones_are_not_trusted(spark):
+    rng = random.Random(6)
+    odd = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    docs = spark.createDataFrame([(i, odd(), "en") for i in range(240)], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)] + [(i, 1, 1) for i in range(120, 130)], "doc_id long, quality int, toxic int")
+    assert lm.trusted_ids(labels).count() == 120
+    found = lm.classify(docs, labels).collect()
+    mean = lambda own: sum(own) / len(own)
+    seen, new = mean([r.perplexity for r in found if r.doc_id < 120]), mean([r.perplexity for r in found if r.doc_id >= 120])
+    assert abs(seen / new - 1) < 0.05
