@@ -5,9 +5,11 @@ shared seeds (SEED words); where the seeds could cover enough of an item, greedy
 longest common runs that do not overlap, found by running Karp-Rabin hashes of falling length, until no run
 of SEED words is left. An item is leaked where its tiles cover enough of it, in whatever order they stand.
 
-Words are runs of letters and digits in lower case, so punctuation and line breaks do not matter.
+Words are runs of Unicode letters, marks and digits in lower case, so punctuation and line breaks do not matter; in
+scripts without spaces each character is a word. An item of fewer than SEED words is leaked where a document holds
+all its words in a row.
 
-Cases: null and empty texts, and items of fewer than SEED words, are in no pair; ties between tiles: the one
+Cases: null and empty texts, and items without words, are in no pair; ties between tiles: the one
 that starts first in the item, then in the document; repeated rows of a document give repeated pairs, repeated
 items of one id count once each text; an item with a null id is judged like others and named by null; other columns are ignored by ``leaks`` and kept by ``clean``; empty tables: nothing is leaked.
 """
@@ -29,6 +31,18 @@ from llm.words import _MARKS, U, blocks, in_sorted, runs, whole
 SEED = 5
 COVERAGE = 0.5
 BLOCK_WORDS = 1_000_000  # of benchmark items sent at once
+SIGNS = r"[^\p{L}\p{M}\p{N}]+"
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])"
+
+
+def plain(column: pa.Array) -> pa.Array:
+    """Lower case; in texts beyond ASCII, blanks for signs and around the characters of scripts without spaces."""
+    low = pc.utf8_lower(column)
+    wide = pc.fill_null(pc.invert(pc.string_is_ascii(low)), False)
+    if not pc.any(wide).as_py():
+        return low
+    split = pc.replace_substring_regex(pc.replace_substring_regex(low.filter(wide), SIGNS, " "), UNSPACED, r" \1 ")
+    return pc.replace_with_mask(low, wide, split)
 
 
 @dataclass
@@ -40,24 +54,28 @@ class Items:
     seeds: np.ndarray
     item: np.ndarray  # of each seed
     place: np.ndarray
+    short: dict[int, dict[int, list[int]]]  # items of fewer than SEED words: by their number and the hash of their run
 
 
 def index(rows: list[tuple[int | None, str | None]]) -> Items:
     ids, words, seeds, item, place = [], [], [], [], []
+    short: dict[int, dict[int, list[int]]] = {}
     if rows:
-        for row, end, w in blocks(pc.utf8_lower(pa.array([t for _, t in rows], pa.string())), _MARKS):
+        for row, end, w in blocks(plain(pa.array([t for _, t in rows], pa.string())), _MARKS):
             for d in range(end - row):
                 own = w.text(d)
                 grams = runs(own, SEED)
                 seeds.append(grams)
                 item.append(np.full(len(grams), len(ids)))
                 place.append(np.arange(len(grams)))
+                if 0 < len(own) < SEED:
+                    short.setdefault(len(own), {}).setdefault(int(runs(own, len(own))[0]), []).append(len(ids))
                 ids.append(rows[row + d][0])
                 words.append(own.copy())
     seeds = np.concatenate(seeds) if seeds else np.zeros(0, U)
     order = np.argsort(seeds, kind="stable")
     flat = lambda x: (np.concatenate(x) if x else np.zeros(0, np.int64))[order]
-    return Items(ids, words, seeds[order], flat(item), flat(place))
+    return Items(ids, words, seeds[order], flat(item), flat(place), short)
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
@@ -110,9 +128,15 @@ def _matches(item: np.ndarray, text: np.ndarray, free_i: np.ndarray, free_t: np.
 def found_in(column: pa.Array, items: Items, coverage: float) -> list[tuple[int, int, float, int]]:
     """(row, item id, coverage, number of tiles) of the leaked items of a batch."""
     out = []
-    if not len(items.seeds):
+    if not len(items.seeds) and not items.short:
         return out
-    for row, _, w in blocks(pc.utf8_lower(column), _MARKS):
+    for row, _, w in blocks(plain(column), _MARKS):
+        for size, by_hash in items.short.items():
+            gram = runs(w.hashes, size)
+            text, ok = whole(w.first, len(w.hashes), size)
+            hit = np.flatnonzero(ok & in_sorted(gram, np.array(sorted(by_hash), U)))
+            pairs = {(int(text[i]), k) for i in hit.tolist() for k in by_hash[int(gram[i])] if (w.hashes[i : i + size] == items.words[k]).all()}
+            out += [(row + d, items.ids[k], 1.0, 1) for d, k in sorted(pairs)]
         gram = runs(w.hashes, SEED)
         text, ok = whole(w.first, len(w.hashes), SEED)
         hit = np.flatnonzero(ok & in_sorted(gram, items.seeds))

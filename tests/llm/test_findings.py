@@ -2,7 +2,7 @@
 
 import random
 
-from llm import lm
+from llm import decontaminate, lm
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -30,3 +30,13 @@ def test_trusted_documents_are_scored_held_out_and_toxic_ones_are_not_trusted(sp
     mean = lambda own: sum(own) / len(own)
     seen, new = mean([r.perplexity for r in found if r.doc_id < 120]), mean([r.perplexity for r in found if r.doc_id >= 120])
     assert abs(seen / new - 1) < 0.05
+
+
+def test_short_items_other_scripts_and_typography(spark):
+    items = [(1, "red blue green"), (2, "東京の天気は明日から晴れです"), (3, "it was “late”, and the old dog slept"), (4, "สวัสดีชาวโลกทุกคน"), (5, "北京")]
+    texts = ["so Red, blue green.", "red blue greener", "今日、東京の天気は明日から晴れです。はい", 'it was "late" and the old dog—slept', "พูดว่าสวัสดีชาวโลกทุกคนครับ", "在北京，好", "北 blue 東", None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert found == {(0, 1), (2, 2), (3, 3), (4, 4), (5, 5)}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 6, 7, 8]
