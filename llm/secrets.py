@@ -1,6 +1,7 @@
 """Secret scan with a random forest against false positives (operator 3).
 
-Candidates are long runs of key characters with a digit. Spark ML's random forest scores each from its length,
+Candidates are long runs of key characters with a digit, runs that begin as an issuer's keys do, and whatever is
+assigned to a key word, of any length and characters. Spark ML's random forest scores each from its length,
 the transitions between its characters, the share that dictionary words cover, the document's path and
 the words beside it. It is trained on labelled findings: candidates whose form or place tells what they
 are; the signs by which they are labelled are hidden from a part of them, so that the forest learns the rest.
@@ -30,6 +31,10 @@ DIGIT = re.compile("[0-9]")
 KEY_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential")
 ISSUED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-|sk_live_|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10}")
 BEFORE = re.compile(r"([A-Za-z_]+)[\"']?\s*[=:]\s*[\"']?$")
+#: What is assigned to a name with a key word: in quotes, or up to a blank or bracket.
+ASSIGNED = re.compile(r"""(?i)(?<![A-Za-z_])[A-Za-z_]*(?:%s)[A-Za-z_]*["']?\s*[=:]\s*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"',;<>(){}\[\]]+))""" % "|".join(KEY_WORDS))
+RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{8,}={0,2}")
+HINT = re.compile("(?i)[0-9]|[=:]|xox|sk_live_|gh[pousr]_|AKIA|ASIA|AIza|eyJ")
 WORD = re.compile(r"[^\W\d_]{3,}")
 HIDE = 0.3  # of the labelled findings have the signs by which they were labelled hidden
 SAMPLE_DOCS = 4_000  # texts from which findings are labelled
@@ -85,6 +90,21 @@ def label(f: list[float]) -> int:
     return -1
 
 
+def places(text: str) -> list[tuple[int, int]]:
+    """Start and end of the candidates of a text; of two that overlap, an assigned value, else the first one."""
+    out = []
+    for m in ASSIGNED.finditer(text):
+        out.append(m.span(next(i for i in (1, 2, 3) if m[i] is not None)))
+    more = [m.span() for m in CANDIDATE.finditer(text) if DIGIT.search(m[0])] + [m.span() for m in RUN.finditer(text) if ISSUED.match(m[0])]
+    at, free = 0, []
+    for a, b in sorted(set(more)):
+        while at < len(out) and out[at][1] <= a:
+            at += 1
+        if (at == len(out) or out[at][0] >= b) and (not free or free[-1][1] <= a):
+            free.append((a, b))
+    return sorted(out + free)
+
+
 def candidates(docs: DataFrame, words: frozenset[str]) -> DataFrame:
     """doc_id, start, end, sha256 of the candidate, features, label (doc_id, text, path)."""
     import hashlib
@@ -92,28 +112,27 @@ def candidates(docs: DataFrame, words: frozenset[str]) -> DataFrame:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
         for doc, text, path in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "path")), strict=True):
-            if not text or not DIGIT.search(text):
+            if not text or not HINT.search(text):
                 continue
-            for m in CANDIDATE.finditer(text):
-                if DIGIT.search(m[0]):
-                    f = features(text, m.start(), m.end(), path or "", words)
-                    rows.append((doc, m.start(), m.end(), hashlib.sha256(m[0].encode()).hexdigest(), f, label(f)))
+            for a, b in places(text):
+                f = features(text, a, b, path or "", words)
+                rows.append((doc, a, b, hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest(), f, label(f)))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "start", "end", "sha256", "features", "label"])
 
     return map_arrow(docs, each, "doc_id long, start long, end long, sha256 string, features array<double>, label int")
 
 
-def dictionary(sample: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
-    """The most frequent words of a bounded sample of texts."""
-    word = sample.select(F.explode(F.expr(r"regexp_extract_all(lower(text), '(\\p{L}{3,12})', 1)")).alias("w"))
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
+    """The most frequent words of all texts; only their number is bounded."""
+    word = docs.select(F.explode(F.expr(r"regexp_extract_all(lower(text), '(\\p{L}{3,12})', 1)")).alias("w"))
     return frozenset(r["w"] for r in word.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect())
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[frozenset[str], RandomForestClassificationModel | None]:
-    """Dictionary and forest from at most sample_docs texts with digits, by a hash of their ids."""
-    some = kept(docs.where(F.col("text").rlike("[0-9]")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "text").limit(sample_docs).drop("h"), "sample")
-    words = dictionary(some)
+    """Dictionary, and a forest from at most sample_docs texts with digits or assignments, by a hash of their ids; the dictionary from all."""
+    some = kept(docs.where(F.col("text").rlike(HINT.pattern)).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "text").limit(sample_docs).drop("h"), "sample")
+    words = dictionary(docs)
     found = candidates(some, words).where("label >= 0")
     hide = F.pmod(F.xxhash64("doc_id", "start"), F.lit(100)) < int(100 * HIDE)
     told = [FEATURES.index(x) for x in ("key word", "issued", "next to @", "next to a dot")]
