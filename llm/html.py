@@ -4,7 +4,8 @@ A page becomes a sequence of tokens. Each word scores its weight (positive), eac
 (negative); one linear scan finds the contiguous run with the largest sum, and the blocks in that run are
 the text. Weights are log odds from labelled pages: pages whose author marked the article. Parts
 that are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-comments) hold no scoring words and are left out of the run.
+comments) hold no scoring words and are left out of the run. A part that is one by its name alone is none where
+it holds the page's only article.
 
 Cases: a null or empty page, and one without words, has an empty text; markup that is never closed ends
 with the page; equal runs: the first one; repeated rows give repeated results; a table without labelled
@@ -66,9 +67,11 @@ def _is_outside(tag: str, attributes: str) -> bool:
     return False
 
 
-def tokens(page: str) -> Iterator[Token]:
+def tokens(page: str, through_names: bool = False) -> Iterator[Token]:
+    """through_names: the first article opens in parts that are outside by their names alone."""
     at, block, size = 0, 0, len(page)
     open_marks: list[str] = []
+    seen = False  # an article was open
     shut: list[str] = []  # open elements since the outermost outside part, that part first
     while at < size:
         m = TOKEN.search(page, at)
@@ -103,14 +106,25 @@ def tokens(page: str) -> Iterator[Token]:
         if tag not in VOID and not attributes.rstrip().endswith("/"):
             if tag in ("main", "body") or tag == "article" and shut and not _is_outside(tag, attributes) and not any(x in ("section", "div", "article", "aside") for x in shut):
                 shut.clear()  # an outside part that was never closed
+            elif through_names and not seen and tag == "article" and not _is_outside(tag, attributes) and not OUTSIDE.intersection(shut):
+                shut.clear()  # a layout wrapper
             if shut or _is_outside(tag, attributes):
                 if tag not in ("p", "li", "br") or not shut:
                     shut.append(tag)
             elif tag in MARKED:
                 open_marks.append(tag)
+                seen = True
         yield Token([], "", tag, block, bool(open_marks), bool(shut))
 
 
+def sequence(page: str) -> list[Token]:
+    """Its tokens. Where all marked text is in parts that are outside by their names alone, such a part is a layout wrapper."""
+    seq = list(tokens(page))
+    if not any(t.marked and t.words and not t.outside for t in seq) and any(t.tag == "article" for t in seq):
+        return list(tokens(page, True))
+    return seq
+
+
 @dataclass
 class Weights:
     """What a word or a tag adds to a run; positive for words, negative for tags."""
@@ -133,7 +147,7 @@ def fit(pages: list[str]) -> Weights:
     """Log odds of words and tags within and outside the article, from pages whose author marked it."""
     words, inner, outer = Counter(), Counter(), Counter()
     for page in pages:
-        for t in tokens(page):
+        for t in sequence(page):
             if t.tag:
                 (inner if t.marked else outer)[t.tag] += 1
             elif t.words:
@@ -163,7 +177,7 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
-    seq = list(tokens(page))
+    seq = sequence(page)
     start, end = best_run([weights.score(t) for t in seq])
     out: list[str] = []
     block, line = -1, ""

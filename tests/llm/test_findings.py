@@ -58,3 +58,12 @@ def test_dictionary_counts_all_documents(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"key {i}", "") for i in range(30)], "doc_id long, text string, path string")
     secrets.fit(docs, 4)
     assert seen == [30]
+
+
+def test_layout_wrappers_do_not_hide_the_article():
+    w = html.fit([])
+    for name in ("layout has-sidebar", "no-sidebar", "header-fixed", "comments-open"):
+        page = f'<body><div class="{name}"><nav>Menu</nav><article><p>One two three</p></article><div class="related"><article>Teaser text</article></div></div></body>'
+        assert html.main_text(page, w) == "One two three"
+    page = '<body><article><p>One two three</p></article><div class="comments"><article>reader says a lot of words</article></div></body>'
+    assert html.main_text(page, w) == "One two three"
