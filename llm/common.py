@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def _clear() -> None:
+    for spark, name in _TABLES:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:
+            break
     for spark, path in _MADE:
         try:
             jvm = spark.sparkContext._jvm
@@ -53,6 +59,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_in_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Like kept(), in buckets of a column: what is grouped or joined by that column is not shuffled again."""
+    spark = df.sparkSession
+    name = f"kept_{uuid.uuid4().hex}"
+    path = scratch(spark, name)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    _TABLES.append((spark, name))
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

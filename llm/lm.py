@@ -1,239 +1,110 @@
 """Quality classifier by an interpolated modified Kneser-Ney model (operator 10).
 
-Symbols are characters folded into at most 64 classes; the model has four of them a gram. Every task counts
-the grams of its trusted documents; the counts are summed in shards by gram and joined, order by order, with
-the totals and continuation counts of their contexts. A document's perplexity is the mean over all its grams,
-and it is rejected where the perplexity is above a quantile of the trusted documents' perplexities in its language.
-Documents are in two folds by a hash of their id and each is scored by the model of the other fold, so no trusted
-document is scored by a model that has seen it and the quantile needs no margin.
-
-The seen grams are sent to all tasks, which make a table of one float for each of the 64**4 grams (64 MiB a fold):
-neither grows beyond that with the input. Counts and quantiles come from all documents.
+Symbols are the bytes of UTF-8, ORDER of them a gram; every language has models of its own. The documents are
+written once in blocks of about BLOCK bytes, bucketed by block, so that no later step shuffles texts. Each block gives its
+distinct grams and how often its trusted documents have them. The counts are summed in shards by gram and joined,
+order by order, with the totals, discounts and continuation counts of their contexts; the grams that blocks ask for
+are joined with these tables in the same shards, and the answers go back to the blocks, where the mean over all grams
+of a document gives its perplexity.
 
-Cases: a null or empty text has no symbols, no perplexity, and is kept; a short text is given the benefit
-of its sampling error; a language is judged by its own trusted documents only, so documents of a null language, and of
-one with fewer than LEAST_DOCS trusted ones, have no threshold and are kept; without trusted documents all are kept; where only one fold has trusted text, its model scores all;
-a document labelled toxic is not trusted; rows with the same id are scored each for itself, and are
-trusted if a label says so; conflicting labels: the lowest quality counts; an empty table gives an empty result.
+Documents are in two folds by a hash of their id and each is scored by the model of the other fold, so no trusted
+document is scored by a model that has seen it. A document is rejected where its perplexity is above a quantile of the
+trusted documents of its language and length class (powers of two of bytes). Quantiles are the conformal ones: the k-th smallest of n with
+k = ceil(quantile * (n + 1)); where k is larger than n, there is none, and the quantile over all lengths of the language is
+taken; where there is none either, documents are kept.
+
+Cases: a null or empty text has no symbols, no perplexity, and is kept; so are documents of a null language and of
+one without trusted text; where only one fold of a language has trusted text, its model scores both; a document labelled
+toxic is not trusted; rows with the same id are scored each for itself, and are trusted if a label says so; conflicting
+labels: the lowest quality counts; equal perplexities are decided alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-from llm.common import kept, map_arrow
-
-ORDER, BITS = 4, 6
-SIZE = 1 << (ORDER * BITS)
-QUANTILE = 0.99
-ERRORS = 3.0  # standard errors that a text is given
-LEAST_DOCS = 50
-START = 63
-
-
-def _classes() -> np.ndarray:
-    """Class of each UTF-16 unit: small letters and marks on their own, the rest by kind."""
-    out = np.full(1 << 16, 40, dtype=np.uint8)  # other signs
-    for c in range(128, 1 << 16):
-        ch = chr(c) if not 0xD800 <= c < 0xE000 else ""
-        if ch.isalpha():
-            out[c] = 27 if ch.isupper() else 41 + c % 8
-        elif ch.isspace():
-            out[c] = 0
-    for c in range(128):
-        ch = chr(c)
-        out[c] = 1 + c - 97 if ch.islower() else 27 if ch.isupper() else 28 if ch.isdigit() else 29 if ch == "\n" else 0 if ch.isspace() else 40
-    for i, c in enumerate(".,!?-|#$%&*"):
-        out[ord(c)] = 49 + i
-    return out
-
-
-CLASSES = _classes()
-
-
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All grams of the texts, one that ends at each symbol, and the text of each."""
-    units = [np.frombuffer((t or "").encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
-    n = np.array([len(u) for u in units], dtype=np.int64)
-    pad = ORDER - 1
-    total = int(n.sum()) + pad * len(units)
-    symbols = np.full(total, START, dtype=np.int32)
-    text = np.repeat(np.arange(len(units)), n)
-    at = np.arange(len(text)) + (text + 1) * pad
-    if len(text):
-        symbols[at] = CLASSES[np.concatenate(units)]
-    code = np.zeros(len(at), dtype=np.int32)
-    for k in range(pad, -1, -1):
-        code = (code << BITS) | symbols[at - k]
+from pyspark.sql.types import LongType, StructField, StructType
+
+from llm.common import kept, kept_in_buckets, parts
+
+ORDER = 5
+SYMBOLS = 256
+BLOCK = 8 << 20  # bytes of text in a block
+RUN = 1 << 20  # bytes of text whose grams are held at once
+QUANTILE = 0.98
+DIGITS = 3  # of a perplexity
+SALTS = 8  # keys over which a frequent gram's requests are spread
+FOLD_BIT, LANG_BITS = 15, 15  # a header of language and fold stands above the bytes of a gram
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All grams of the texts, one that ends at each byte, and the text of each. Before a text stand zeros."""
+    pad = b"\0" * (ORDER - 1)
+    raw = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), np.uint8)
+    n = np.array([len(t) for t in texts], dtype=np.int64)
+    text = np.repeat(np.arange(len(texts)), n)
+    last = np.arange(len(text)) + (text + 1) * (ORDER - 1)
+    code = np.zeros(len(last), dtype=np.int64)
+    for k in range(ORDER - 1, -1, -1):
+        code = (code << 8) | raw[last - k]
     return code, text
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """fold, gram, n: a row for each gram of each fold of each batch of docs (fold, text)."""
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        folds = batch.column("fold").to_numpy()
-        for fold in np.unique(folds):
-            found = [np.unique(grams(run)[0], return_counts=True) for run in pieces(batch.column("text").filter(pa.array(folds == fold)).to_pylist())]
-            gram, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([x for _, x in found]), minlength=len(gram))
-            out.append((np.full(len(gram), fold, np.int32), gram.astype(np.int32), n.astype(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["fold", "gram", "n"])
-
-    return map_arrow(docs.select(F.col("fold").cast("int").alias("fold"), "text"), each, "fold int, gram int, n long")
-
-
-def _totals(table: DataFrame) -> DataFrame:
-    """Of each context: its total, and how many grams occur once, twice and more often."""
-    return table.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count_if(F.col("n") > 2).alias("n3"))
-
-
-def _discounts(table: DataFrame) -> list[float]:
-    """Of grams that occur once, twice and more often, by the counts of counts."""
-    m = [float(x or 0) for x in table.agg(*(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).first()]
-    if not all(m[:3]):
-        return [0.5, 0.75, 0.9]
-    y = m[0] / (m[0] + 2 * m[1])
-    return [min(i + 0.99, max(0.01, (i + 1) - (i + 2) * y * m[i + 1] / m[i])) if m[i] else 0.9 for i in range(3)]
-
-
-def orders(table: DataFrame) -> list[DataFrame]:
-    """Highest order first: counts, then for each lower order how many different symbols stand before a gram."""
-    out = [table]
-    for k in range(ORDER - 1, 0, -1):
-        out.append(kept(out[-1].groupBy(F.col("gram").bitwiseAND((1 << (k * BITS)) - 1).alias("gram")).agg(F.count("*").alias("n")), "grams"))
-    return out
-
-
-def parameters(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, share): what a seen gram has of its own; (context, rest): what a context leaves to the lower order."""
-    d = _discounts(table)
-    totals = _totals(table)
-    cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    share = table.withColumn("context", F.shiftright("gram", BITS)).join(totals.select("context", "total"), "context").select("gram", (F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("total")).alias("share"))
-    rest = totals.select("context", ((d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")).alias("rest"))
-    return share, rest
-
-
-class Model:
-    """What each order gives to its seen grams and leaves to the lower one. The dense table is made where it is used."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """levels, lowest order first: grams, shares, contexts, rests."""
-        self.levels, self._table = levels, None
-
-    def __getstate__(self) -> dict:
-        return {"levels": self.levels, "_table": None}
-
-    def table(self) -> np.ndarray:
-        """Minus log probability of the last symbol of every gram."""
-        if self._table is None:
-            width = 1 << BITS
-            p = np.full((1, width), 1.0 / width, dtype=np.float32)
-            for k, (gram, share, context, rest) in enumerate(self.levels, 1):
-                left = np.ones(width ** (k - 1), dtype=np.float32)
-                left[context] = rest
-                # the lower order does not see the first symbol of the context
-                p = (left.reshape(-1, len(p), 1) * p[None]).reshape(-1) if k > 1 else left[0] * p.reshape(-1)
-                p[gram] += share
-                p = p.reshape(-1, width)
-            p = p.reshape(-1)
-            np.maximum(p, 1e-12, out=p)
-            np.log(p, out=p)
-            self._table = np.negative(p, out=p)
-        return self._table
-
-
-def fold_of(column: str = "doc_id") -> F.Column:
-    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(2)).cast("int")
-
-
-def fit(trusted: DataFrame) -> Model | None:
-    """The model of trusted (text); None without any symbol."""
-    return _fitted(_summed(trusted.withColumn("fold", F.lit(0))).drop("fold"))
-
-
-def fit_folds(trusted: DataFrame) -> tuple[Model, Model] | None:
-    """The models that score fold 0 and fold 1, each of the other fold's trusted (fold, text); None without any symbol."""
-    table = _summed(trusted)
-    zero, one = (_fitted(table.where(F.col("fold") == f).drop("fold")) for f in (0, 1))
-    return (one or zero, zero or one) if zero or one else None
-
-
-def _summed(trusted: DataFrame) -> DataFrame:
-    return kept(counts(trusted).groupBy("fold", "gram").agg(F.sum("n").alias("n")), "grams")
-
-
-def _fitted(table: DataFrame) -> Model | None:
-    if table.isEmpty():
-        return None
-    levels = []
-    for own in reversed(orders(table)):
-        share, rest = parameters(own)
-        levels.append((*_columns(share), *_columns(rest)))
-    return Model(levels)
-
-
-def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most a row for each gram of an order; the number of grams is bounded by 64 to the order."""
-    found = df.toArrow()
-    return found.column(0).to_numpy(), found.column(1).to_numpy().astype(np.float32)
-
-
-def pieces(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str | None]]:
-    """Texts in runs of about size characters, so that arrays stay small."""
-    run, n = [], 0
-    for t in texts:
-        run.append(t)
-        n += len(t or "")
+def runs_of(texts: list[bytes], size: int = RUN) -> Iterator[tuple[int, list[bytes]]]:
+    """(first text, texts) for runs of about size bytes."""
+    start, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t)
         if n >= size:
-            yield run
-            run, n = [], 0
-    if run:
-        yield run
-
-
-def score_texts(texts: list[str | None], folds: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: symbols, mean of minus log probability by its fold's table, its standard error."""
-    code, text = grams(texts)
-    second = folds[text] == 1
-    loss = np.empty(len(code))
-    loss[second], loss[~second] = tables[1][code[second]], tables[0][code[~second]]
-    n = np.bincount(text, minlength=len(texts))
-    some = np.maximum(n, 1)
-    mean = np.bincount(text, weights=loss, minlength=len(texts)) / some
-    spread = np.bincount(text, weights=(loss - mean[text]) ** 2, minlength=len(texts)) / some
-    return n, mean, np.sqrt(spread / some)
-
-
-def with_scores(docs: DataFrame, models: tuple[Model, Model]) -> DataFrame:
-    """docs (doc_id, text) with lm_symbols, lm_loss (nats a symbol) and lm_low (lm_loss less ERRORS standard errors)."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(models)
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tables = tuple(m.table() for m in sent.value)
-        folds, scored, at = batch.column("lm_fold").to_numpy(), [], 0
-        for run in pieces(batch.column("text").to_pylist()):
-            scored.append(score_texts(run, folds[at : at + len(run)], tables))
-            at += len(run)
-        n, mean, error = (np.concatenate(x) for x in zip(*scored, strict=True))
-        null = n == 0
-        batch = batch.drop_columns(["lm_fold"])
-        more = [pa.array(n.astype(np.int64)), pa.array(mean, mask=null), pa.array(mean - ERRORS * error, mask=null)]
-        return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lm_symbols", "lm_loss", "lm_low"])
-
-    schema = StructType(list(docs.schema.fields))
-    for c, t in (("lm_symbols", "long"), ("lm_loss", "double"), ("lm_low", "double")):
-        schema = schema.add(c, t)
-    return map_arrow(docs.withColumn("lm_fold", fold_of()), each, schema)
+            yield start, texts[start : i + 1]
+            start, n = i + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]
+
+
+def _by_language(table: pa.Table, codes: dict[str, int]) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """(code, rows, texts as bytes) for each language that has a code; empty texts are left out."""
+    lang, text = table.column("lm_lang").to_pylist(), table.column("lm_text").to_pylist()
+    rows: dict[str, list[int]] = {}
+    for i, (a, t) in enumerate(zip(lang, text, strict=True)):
+        if t and a in codes:
+            rows.setdefault(a, []).append(i)
+    for a in sorted(rows):
+        yield codes[a], np.array(rows[a]), [text[i].encode("utf-8", "surrogatepass") for i in rows[a]]
+
+
+# --- blocks ---
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs with lm_row (its own for each row) and lm_block, which is odd for fold 1; bucketed by block, texts in bytes bounded."""
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2))
+    schema = StructType([*docs.schema.fields, StructField("lm_block", LongType()), StructField("lm_row", LongType())])
+    with_keys = docs.withColumns({"lm_block": F.spark_partition_id().cast("long") * (1 << 24) + fold, "lm_row": F.monotonically_increasing_id()})
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = np.zeros(2, dtype=np.int64)  # bytes so far in each fold
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            key = batch.column("lm_block").to_numpy()
+            odd = key & 1
+            block = np.zeros(len(n), dtype=np.int64)
+            for f in (0, 1):
+                own = odd == f
+                block[own] = (done[f] + np.cumsum(n[own]) - n[own]) // BLOCK
+                done[f] += n[own].sum()
+            at = batch.schema.get_field_index("lm_block")
+            yield batch.set_column(at, "lm_block", pa.array(key + 2 * block))
+
+    return kept_in_buckets(with_keys.mapInArrow(number, schema), "lm_block", parts(docs.sparkSession))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -241,41 +112,182 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND coalesce(t, 0) <> 1").select("doc_id")
 
 
-class Classifier:
-    """The fitted models and the largest lm_low that is kept, by language; all other languages are kept."""
-
-    def __init__(self, models: tuple[Model, Model] | None, limits: dict[str, float]) -> None:
-        self.models, self.limits = models, limits
-
-    def decide(self, docs: DataFrame) -> DataFrame:
-        """docs with lm_symbols, lm_perplexity, lm_threshold (a perplexity too) and lm_keep."""
-        if self.models is None:
-            return docs.withColumns({"lm_symbols": F.length("text").cast("long"), "lm_perplexity": F.lit(None).cast("double"), "lm_threshold": F.lit(None).cast("double"), "lm_keep": F.lit(True)})
-        limit = F.lit(None).cast("double")
-        for lang, x in self.limits.items():
-            limit = F.when(F.col("lang") == lang, x).otherwise(limit)
-        scored = with_scores(docs, self.models).withColumn("lm_limit", limit)
-        return scored.withColumns({"lm_perplexity": F.exp("lm_loss"), "lm_threshold": F.exp("lm_limit"), "lm_keep": F.coalesce(F.col("lm_low") <= F.col("lm_limit"), F.lit(True))}).drop("lm_loss", "lm_low", "lm_limit")
-
-
-def classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Classifier:
-    """The models from all trusted documents, and the quantiles of all their perplexities."""
-    good = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi")  # the same plan at every size
-    models = fit_folds(good.withColumn("fold", fold_of()))
-    if models is None:
-        return Classifier(None, {})
-    low = kept(with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), models).drop("text"), "scores").join(trusted_ids(labels), "doc_id", "left_semi").where("lm_symbols > 0")
-    q = F.percentile_approx("lm_low", quantile, 10_000).alias("q")
-    rows = low.where("lang IS NOT NULL").groupBy("lang").agg(q, F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).collect()
-    return Classifier(models, {r["lang"]: r["q"] for r in rows})
+def _light(docs: DataFrame) -> DataFrame:
+    """What the steps on texts need of dealt documents."""
+    return docs.select("lm_block", "lm_row", F.col("lang").cast("string").alias("lm_lang"), F.col("text").cast("string").alias("lm_text"))
+
+
+def asked(docs: DataFrame, trusted: DataFrame, codes: dict[str, int]) -> DataFrame:
+    """lm_block, key (language and gram), n: the distinct grams of each block, and how often its trusted documents have them."""
+
+    def gather(block: pa.Table, rows: pa.Table) -> pa.Table:
+        good = np.isin(block.column("lm_row").to_numpy(), rows.column("row").to_numpy())
+        out_k, out_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for code, own, texts in _by_language(block, codes):
+            found, times = [], []
+            for start, run in runs_of(texts):
+                code_of, text = grams(run)
+                d = pa.array(code_of).dictionary_encode()
+                at = d.indices.to_numpy()
+                found.append(d.dictionary.to_numpy())
+                times.append(np.bincount(at[good[own[start + text]]], minlength=len(found[-1])))
+            gram, at = np.unique(np.concatenate(found), return_inverse=True)
+            out_k.append((code << (8 * ORDER)) | gram)
+            out_n.append(np.bincount(at, np.concatenate(times), minlength=len(gram)).astype(np.int64))
+        key = np.concatenate(out_k)
+        number = block.column("lm_block")[0].as_py() if block.num_rows else rows.column("lm_block")[0].as_py()
+        return pa.table({"lm_block": np.full(len(key), number), "key": key, "n": np.concatenate(out_n)})
+
+    return _light(docs).groupBy("lm_block").cogroup(trusted.select("lm_block", F.col("lm_row").alias("row")).groupBy("lm_block")).applyInArrow(gather, "lm_block long, key long, n long")
+
+
+# --- the model ---
+
+
+def suffix(key: F.Column, k: int) -> F.Column:
+    """The gram of order k without its first symbol."""
+    return F.shiftleft(F.shiftright(key, 8 * k), 8 * (k - 1)).bitwiseOR(key.bitwiseAND((1 << (8 * (k - 1))) - 1))
+
+
+def levels(counted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """From order 1 up: (gram, share): what a seen gram has of its own; (context, rest): what a context leaves to the lower order.
+
+    counted: gram, n of order ORDER. A lower order counts how many different symbols stand before a gram.
+    """
+    out = []
+    table = counted
+    for k in range(ORDER, 0, -1):
+        head = F.shiftright("gram", 8 * k)
+        times = lambda *at: [F.count_if(F.col("n") == i).cast("double").alias(f"m{i}") for i in at]
+        m = table.groupBy(head.alias("head")).agg(*times(1, 2, 3, 4))
+        y = F.col("m1") / (F.col("m1") + 2 * F.col("m2"))
+        cut = lambda i: F.when(F.col(f"m{i}") > 0, F.least(F.lit(i - 0.01), F.greatest(F.lit(0.01), i - (i + 1) * y * F.col(f"m{i + 1}") / F.col(f"m{i}")))).otherwise(F.lit(0.9)).alias(f"d{i}")
+        # one row for each language and fold
+        discounts = F.broadcast(m.select("head", cut(1), cut(2), cut(3)))
+        with_cut = table.withColumn("head", head).join(discounts, "head").select("gram", "n", F.shiftright("gram", 8).alias("context"), F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("cut"))
+        totals = with_cut.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
+        share = with_cut.join(totals, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share"))
+        out.append((share, totals.select("context", (F.col("left") / F.col("total")).alias("rest"))))
+        if k > 1:
+            table = kept(table.groupBy(suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n")), "grams")
+    return out[::-1]
+
+
+def probabilities(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """gram, p for the distinct grams of order ORDER in wanted (gram), by joins with every order of the model."""
+    orders = [wanted]
+    for k in range(ORDER, 1, -1):
+        orders.append(kept(orders[-1].select(suffix(F.col("gram"), k).alias("gram")).distinct(), "wanted"))
+    p = None
+    for k, (own, (share, rest)) in enumerate(zip(orders[::-1], model, strict=True), 1):
+        found = own.withColumn("context", F.shiftright("gram", 8)).join(share, "gram", "left").join(rest, "context", "left")
+        if p is None:
+            found = found.withColumn("low", F.lit(1.0 / SYMBOLS))
+        else:
+            found = found.withColumn("lower", suffix(F.col("gram"), k)).join(p.select(F.col("gram").alias("lower"), F.col("p").alias("low")), "lower")
+        p = kept(found.select("gram", (F.coalesce("share", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("low")).alias("p")), "shares")
+    return p
+
+
+def fit(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """The model of the texts of trusted (text), as one language; for use with probabilities()."""
+    docs = dealt(trusted.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.lit("").alias("lang")))
+    found = asked(docs, docs.select("lm_block", "lm_row"), {"": 0})
+    return levels(kept(found.groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")), "counts"))
+
+
+# --- scores ---
+
+
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """lm_block, lm_row, doc_id, lang, trusted, symbols, perplexity for every row of dealt docs."""
+    ids = docs.select("lm_block", "lm_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("some"))
+    trusted = kept(ids.join(trusted_ids(labels), "doc_id", "left_semi"), "trusted")
+    # a row for each language and fold
+    seen = {(r["lang"], r["fold"]) for r in trusted.where("some AND lang IS NOT NULL").select("lang", F.pmod("lm_block", F.lit(2)).alias("fold")).distinct().collect()}
+    codes = {a: i for i, a in enumerate(sorted({a for a, _ in seen}))}
+    if len(codes) >= 1 << LANG_BITS:
+        raise ValueError("too many languages")
+    result = "lm_block long, lm_row long, symbols long, perplexity double"
+    if codes:
+        requests = kept(asked(docs, trusted, codes), "requests")
+        counted = kept(requests.where("n > 0").groupBy(_headed(F.pmod("lm_block", F.lit(2))).alias("gram")).agg(F.sum("n").alias("n")), "counts")
+        model = levels(counted)
+        # the other fold's model, or the own one where the other has no trusted text of that language
+        alone = [codes[a] * 2 + f for a, f in seen if (a, 1 - f) not in seen]
+        own = F.pmod("lm_block", F.lit(2))
+        lonely = (F.shiftright("key", 8 * ORDER) * 2 + own).isin(alone) if alone else F.lit(False)
+        with_gram = requests.select("lm_block", "key", _headed(F.when(lonely, own).otherwise(1 - own)).alias("gram"))
+        p = probabilities(kept(with_gram.select("gram").distinct(), "wanted"), model)
+        salted = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        answers = with_gram.withColumn("salt", F.pmod(F.xxhash64("lm_block"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"]).select("lm_block", "key", "p")
+    else:
+        answers = docs.sparkSession.createDataFrame([], "lm_block long, key long, p double")
+
+    def score(block: pa.Table, found: pa.Table) -> pa.Table:
+        n = np.zeros(block.num_rows, dtype=np.int64)
+        loss = np.full(block.num_rows, np.nan)
+        key, p = found.column("key").to_numpy(), found.column("p").to_numpy()
+        order = np.argsort(key)
+        key, cost = key[order], -np.log(p[order])
+        for i, t in enumerate(block.column("lm_text").to_pylist()):
+            n[i] = len(t.encode("utf-8", "surrogatepass")) if t else 0
+        for code, own, texts in _by_language(block, codes):
+            for start, run in runs_of(texts):
+                gram, text = grams(run)
+                d = pa.array(gram).dictionary_encode()
+                at = np.searchsorted(key, (code << (8 * ORDER)) | d.dictionary.to_numpy())
+                sums = np.bincount(text, cost[at][d.indices.to_numpy()], minlength=len(run))
+                loss[own[start : start + len(run)]] = sums / n[own[start : start + len(run)]]
+        value = np.round(np.exp(loss), DIGITS)
+        return pa.table({"lm_block": block.column("lm_block"), "lm_row": block.column("lm_row"), "symbols": n, "perplexity": pa.array(value, mask=np.isnan(value))})
+
+    found = _light(docs).groupBy("lm_block").cogroup(answers.groupBy("lm_block")).applyInArrow(score, result)
+    marked = trusted.select("lm_block", "lm_row", F.lit(True).alias("trusted"))
+    both = found.join(ids.drop("some"), ["lm_block", "lm_row"]).join(marked, ["lm_block", "lm_row"], "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    return kept(both, "scores")
+
+
+def _headed(fold: F.Column) -> F.Column:
+    """The key with its fold above the language."""
+    return F.shiftleft(fold.cast("long"), 8 * ORDER + FOLD_BIT).bitwiseOR(F.col("key"))
+
+
+def length_class(symbols: F.Column) -> F.Column:
+    return F.floor(F.log2(symbols.cast("double"))).cast("int")
+
+
+def quantiles(scored: DataFrame, by: list[str], quantile: float) -> DataFrame:
+    """by, threshold: the conformal quantile of the trusted perplexities. Equal values are counted before the sum, and there is a bounded number of different ones."""
+    counts = scored.where("trusted AND perplexity IS NOT NULL").groupBy(*by, "perplexity").agg(F.count("*").alias("n"))
+    own = Window.partitionBy(*by)
+    ranked = counts.withColumn("upto", F.sum("n").over(own.orderBy("perplexity"))).withColumn("k", F.ceil(F.lit(quantile) * (F.sum("n").over(own) + 1) - 1e-9))
+    return ranked.where("upto >= k").groupBy(*by).agg(F.min("perplexity").alias("threshold"))
+
+
+def decided(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """scores() with threshold and keep."""
+    scored = scores(docs, labels).withColumn("size", length_class(F.col("symbols")))
+    close, wide = (quantiles(scored, by, quantile) for by in (["lang", "size"], ["lang"]))
+    both = scored.join(close, ["lang", "size"], "left").join(wide.withColumnRenamed("threshold", "wide"), "lang", "left")
+    limit = F.when(F.col("perplexity").isNotNull(), F.coalesce("threshold", "wide"))
+    return both.withColumn("threshold", limit).withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, keep: one row per row of docs (doc_id, lang, text)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    return classifier(docs, labels, quantile).decide(own).select("doc_id", "lang", *(F.col(f"lm_{a}").alias(b) for a, b in (("symbols", "n_symbols"), ("perplexity", "perplexity"), ("threshold", "threshold"), ("keep", "keep"))))
+    own = dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
+    return decided(own, labels, quantile).select("doc_id", "lang", F.col("symbols").alias("n_symbols"), "perplexity", "threshold", "keep")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """docs without the rejected ones."""
-    return classifier(docs, labels).decide(docs).where("lm_keep").select(*docs.columns)
+    own = dealt(docs)
+    out = kept(decided(own, labels, quantile).where("NOT keep").select("lm_block", F.col("lm_row").alias("row")), "rejected")
+
+    def drop(block: pa.Table, rows: pa.Table) -> pa.Table:
+        stays = ~np.isin(block.column("lm_row").to_numpy(), rows.column("row").to_numpy())
+        return block.filter(pa.array(stays)).select(names)
+
+    names = docs.columns
+    return own.groupBy("lm_block").cogroup(out.groupBy("lm_block")).applyInArrow(drop, StructType(list(docs.schema.fields)))

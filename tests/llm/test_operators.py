@@ -145,8 +145,13 @@ def test_language_model(spark):
     good = ["the cat sat on the mat and the dog ran to the cat " * 3] * 60
     docs = docs_of(spark, [*good, "&&& %%% ### $$$ ||| *** " * 20, None, ""])
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
-    model = lm.fit(docs.where("doc_id < 60"))
-    assert np.allclose(np.exp(-model.table().reshape(-1, 64).astype(float)).sum(1), 1.0, atol=1e-3)
+    # all symbols after a context: their probabilities have the sum 1
+    contexts = [b"the ", b"zzzz", b"\0\0\0\0"]
+    every = spark.createDataFrame([(int.from_bytes(x + bytes([i])),) for x in contexts for i in range(256)], "gram long")
+    p = {r.gram: r.p for r in lm.probabilities(every, lm.fit(docs.where("doc_id < 60"))).collect()}
+    for x in contexts:
+        assert abs(sum(p[int.from_bytes(x + bytes([i]))] for i in range(256)) - 1) < 1e-9
+    assert p[int.from_bytes(b"the c")] > 0.3
     keep = {r.doc_id: r.keep for r in lm.classify(docs, labels).collect()}
     assert all(keep[i] for i in range(60)) and not keep[60] and keep[61] and keep[62]
     assert lm.classify(docs, labels.limit(0)).where("not keep").count() == 0
