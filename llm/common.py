@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     A folder of our own is made only where the setting is absent, as in tests on local[n].
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = _OWN["dir"] = tempfile.mkdtemp(prefix="spark-ckpt-")
     return found.rstrip("/")
@@ -36,6 +38,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority as Spark itself resolves it, so that executors open the same place."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def _clear() -> None:
     for spark, name in _TABLES:
         try:
@@ -82,6 +91,23 @@ def id_key(column: str = "doc_id") -> F.Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))
 
 
+def bounded_sample(df: DataFrame, most: int, eligible: F.Column, *keys: str) -> DataFrame:
+    """At most `most` different eligible rows, those with the smallest hashes of their keys; null rows of eligible are none.
+
+    Rows above a cutoff of the hash are left out where they are read, so little more than `most` rows leave the tasks.
+    """
+    spark = df.sparkSession
+    share = min(1.0, 4 * most / max(1, df.count()))
+    hashed = df.withColumn("_h", F.xxhash64(*keys))
+    while True:
+        below = F.col("_h") < int(-(2**63) + share * 2**64) if share < 1 else F.lit(True)
+        rows = hashed.where(below & F.coalesce(eligible, F.lit(False)))
+        found = kept(rows.groupBy("_h").agg(F.min(F.struct(*df.columns)).alias("r")), "sample")
+        if share == 1 or found.limit(most).count() == most:
+            return spark.createDataFrame(found.orderBy("_h").select("r.*").limit(most).collect(), df.schema)
+        share = min(1.0, 8 * share)
+
+
 def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import map_arrow
+from llm.common import bounded_sample, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
@@ -50,7 +51,7 @@ def luhn(digits: str) -> bool:
 def holds(kind: str, text: str) -> bool:
     """Whether what a base rule matched is kept."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p := x.lstrip("0") or "0") <= 3 and int(p) <= 255 for x in text.split("."))
     if kind in ("card", "phone"):
         digits = NOT_DIGIT.sub("", text)
         return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
@@ -66,6 +67,8 @@ def base_spans(text: str) -> list[Span]:
             continue
         if kind == "email":
             found += [(kind, a, b) for a, b in _addresses(text)]
+        elif kind == "ip":
+            found += [(kind, a, b) for a, b in _quads(text) if holds(kind, text[a:b])]
         else:
             found += [(kind, m.start(), m.end()) for m in BASE[kind].finditer(text) if holds(kind, m[0])]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
@@ -90,6 +93,19 @@ def _addresses(text: str) -> list[tuple[int, int]]:
     return out
 
 
+NUMBERS, NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile("[0-9]+")
+
+
+def _quads(text: str) -> list[tuple[int, int]]:
+    """The IP rule's matches: each run of numbers and dots gives its numbers in fours. Linear also in long runs of digits."""
+    out = []
+    for run in NUMBERS.finditer(text):
+        if run[0].count(".") > 2:
+            own = [m.span() for m in NUMBER.finditer(text, *run.span())]
+            out += [(own[i][0], own[i + 3][1]) for i in range(0, len(own) - 3, 4)]
+    return out
+
+
 # --- the field ---
 
 
@@ -250,7 +266,19 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     if not text or not SIGN.search(text):
         return [], []
     base = base_spans(text)
-    more = [s for region in regions(text) for s in field.best(text, region) if not any(s[1] < b and a < s[2] for _, a, b in base)]
+    covered: list[list[int]] = []  # the union of the base spans
+    for _, a, b in base:
+        if covered and a < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    starts = [a for a, _ in covered]
+
+    def free(a: int, b: int) -> bool:
+        at = bisect_left(starts, b) - 1
+        return at < 0 or covered[at][1] <= a
+
+    more = [s for region in regions(text) for s in field.best(text, region) if free(s[1], s[2])]
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -258,9 +286,9 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def fit(docs: DataFrame, sample_rows: int = 400) -> Field:
-    """The field from a bounded sample: at most sample_rows texts with signs, by a hash of their ids."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(sample_rows)
+def fit(docs: DataFrame, sample_rows: int = 400, longest: int = 20_000) -> Field:
+    """The field from a bounded sample: at most sample_rows texts with signs, of at most `longest` characters, by a hash of id and text."""
+    some = bounded_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), sample_rows, F.col("text").rlike("[0-9@]") & (F.length("text") <= longest), "doc_id", "text")
     return train([r["text"] for r in some.collect()])
 
 

@@ -1,11 +1,12 @@
 """WARC archives of pages, and capture histories by external index merge (operator 7).
 
 Pages are written as gzip members of WARC/1.1 files in the shared folder; each file is a capture run
-sorted by URL key, time and page. Reading the files back gives one sorted index run each. The runs are
-dealt by ranges of the key and merged by loser trees into globally ordered histories.
+sorted by URL key, time and page. Reading the files back gives their index, whose partitions Spark sorts and writes
+as runs by ranges of the key; loser trees merge the runs of each range lazily from their files into globally
+ordered histories.
 
 Cases: a null payload is an empty one; of equal payloads the smallest page id is the response, whatever
-the URL; repeated rows of a page id keep their type; a null page id counts as smallest and is read back
+the URL; rows of one page id are judged each by its own payload, and repeated rows keep their type; a null page id counts as smallest and is read back
 as null; a null URL has an empty key; an empty table gives an empty result. A task that runs again
 writes new files, and only the files that the finished tasks report are read.
 """
@@ -18,15 +19,18 @@ import hashlib
 import io
 import posixpath
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import kept, parts, scratch
+from llm.common import bounded_sample, kept, parts, qualified, scratch
 
 INDEX = "url_key string, captured string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, position long, length long"
 NO_TIME = "1970-01-01T00:00:00Z"
@@ -50,11 +54,11 @@ def digest(payload: bytes) -> str:
 
 
 def roles(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id and first (the page that it revisits), only for pages that revisit another."""
-    own = pages.select(F.coalesce("page_id", F.lit(-(2**63))).alias("pid"), F.coalesce("html", F.lit("")).alias("html"))
+    """pid, key (of the payload) and first (the page that it revisits), once for each page and payload that revisits another page."""
+    own = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63))).alias("pid"), F.coalesce("html", F.lit("")).alias("html"))
     own = own.where(F.octet_length("html") >= least).select("pid", F.unhex(F.sha2("html", 256)).alias("key"))
-    first = own.groupBy("key").agg(F.min("pid").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return own.join(first, "key").where("pid <> first").select("pid", "first").dropDuplicates(["pid"])
+    first = own.groupBy("key").agg(F.min("pid").alias("first"), F.max("pid").alias("last")).where("first < last").drop("last")
+    return own.join(first, "key").where("pid <> first").select("pid", "key", "first").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
@@ -62,11 +66,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     time = F.coalesce(F.col("captured").cast("string"), F.lit(NO_TIME)) if "captured" in pages.columns else F.lit(NO_TIME)
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63))).alias("pid"), "url", F.coalesce("html", F.lit("")).alias("html"), time.alias("captured"))
     # As strings, so that pandas does not turn nullable ids into floating-point numbers.
-    rows = rows.join(roles(pages, least), "pid", "left").withColumn("first", F.col("first").cast("string"))
+    rows = rows.withColumn("key", F.unhex(F.sha2("html", 256))).join(roles(pages, least), ["pid", "key"], "left").drop("key").withColumn("first", F.col("first").cast("string"))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A run is one batch of rows: what is sorted at once stays small however large the partition is.
-        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith(("file:", "/")) else f"file://{folder}")
+        fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         for frame in frames:
             if frame.empty:
@@ -108,7 +112,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """One sorted index run for each archive; digests and lengths are those of the payload that was read."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith(("file:", "/")) else f"file://{folder}")
+        fs, base = pafs.FileSystem.from_uri(folder)
         for frame in frames:
             for name in frame["archive"]:
                 rows = []
@@ -158,11 +162,11 @@ class Members:
             at += used
 
 
-def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
-    """Merges sorted runs: each inner node holds the loser of its match, the winner climbs from the leaf that moved."""
+def loser_tree(runs: list[Iterable]) -> Iterator:
+    """Merges sorted runs, holding one item of each: inner nodes hold the losers of their matches, the winner climbs from the leaf that moved."""
     k = len(runs)
-    places = [0] * k
-    heads = [r[0] if r else None for r in runs]
+    rest = [iter(r) for r in runs]
+    heads = [next(r, None) for r in rest]
 
     def before(a: int, b: int) -> bool:
         """Whether run a's head comes out before run b's; -1 stands for a run that beats all."""
@@ -187,40 +191,89 @@ def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
         winner = climb(run)
     while k and heads[winner] is not None:
         yield heads[winner]
-        places[winner] += 1
-        heads[winner] = runs[winner][places[winner]] if places[winner] < len(runs[winner]) else None
+        heads[winner] = next(rest[winner], None)
         winner = climb(winner)
 
 
-def merge_runs(index: DataFrame) -> DataFrame:
-    """Captures in global order of URL key, time and page: by ranges across partitions, by loser tree within."""
-    names = [c.split()[0] for c in INDEX.split(", ")]
-    ids = {c: F.col(c).cast("string") for c in ("page_id", "refers_to")}  # nullable ids stay whole in pandas
-    dealt = index.select(*names).repartitionByRange(parts(index.sparkSession), "url_key", "captured", "page_id", "archive", "position").withColumns(ids)
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[str, list[tuple]] = {}
-        for frame in frames:
-            for key, time, pid, run, at, row in zip(frame["url_key"], frame["captured"], frame["page_id"], frame["archive"], frame["position"], frame.itertuples(index=False, name=None), strict=True):
-                found.setdefault(run, []).append(((key, time, -(2**63) if pid is None else int(pid), run, at), row))
-        # A run arrives as it was sorted unless the shuffle spilled; sorting what is sorted is one pass.
-        runs = [sorted(x) for _, x in sorted(found.items())]
-        out: list[tuple] = []
-        for _, row in loser_tree(runs):
-            out.append(row)
-            if len(out) == 20_000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
-    text = INDEX.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string")
-    return dealt.mapInPandas(merge, text).withColumns({c: F.col(c).cast("long") for c in ids})
+NAMES = [c.split()[0] for c in INDEX.split(", ")]
+ORDER = ["url_key", "captured", "page_id", "archive", "position"]
+READ = 1_024  # rows of a run that are held at once
+FAN_IN = 128  # runs merged at once; more of them take another pass
+SAMPLE = 20_000  # keys from which the ranges are taken
+
+
+def _place(row: tuple) -> tuple:
+    """The order of captures; a null page id is the smallest."""
+    key, captured, page, archive, at = (row[NAMES.index(c)] for c in ORDER)
+    return key, captured, -(2**63) if page is None else page, archive, at
+
+
+def _merged(fs: pafs.FileSystem, files: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted Parquet files in their common order; each file is read READ rows at a time."""
+
+    def rows(name: str) -> Iterator[tuple]:
+        with fs.open_input_file(name) as f:
+            for batch in pq.ParquetFile(f).iter_batches(READ, columns=NAMES):
+                for row in zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True):
+                    yield _place(row), row
+
+    out: list[tuple] = []
+    for _, row in loser_tree([rows(f) for f in files]):
+        out.append(row)
+        if len(out) == 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], NAMES)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], NAMES)
+
+
+def merge_runs(index: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """Captures in global order of URL key, time and page.
+
+    Spark sorts each partition, which may spill; what it writes for each range of keys is a run. The runs of a range are merged
+    by loser trees, lazily from their files, in as many passes as fan_in asks for. Partition i of the result is range i.
+    """
+    spark = index.sparkSession
+    n = parts(spark)
+    rows = kept(index.select(*NAMES), "index")
+    found = bounded_sample(rows.select(*ORDER), SAMPLE, F.lit(True), "archive", "position").collect()
+    keys = sorted(_place(tuple(r.asDict().get(c) for c in NAMES)) for r in found)
+    # ranges by whole places, so that the captures of one frequent URL are split too
+    bounds = [keys[len(keys) * i // n] for i in range(1, n)] if keys else []
+    schema = pa.schema([(c, pa.int64() if t == "long" else pa.string()) for c, t in (x.split() for x in INDEX.split(", "))])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [bisect_right(bounds, _place(r)) for r in zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], [*batch.schema.names, "part"])
+
+    folder = scratch(spark, "runs")
+    # `low` sorts null page ids first as _place does
+    low = F.coalesce("page_id", F.lit(-(2**63)))
+    dealt = rows.mapInArrow(deal, INDEX + ", part int").sortWithinPartitions("part", "url_key", "captured", low, "archive", "position")
+    dealt.write.partitionBy("part").option("compression", "zstd").parquet(folder)
+    base_uri = qualified(spark, folder)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(base_uri)
+        for batch in batches:
+            for part in batch.column("id").to_pylist():
+                where = posixpath.join(base, f"part={part}")
+                listed = fs.get_file_info(pafs.FileSelector(where, allow_not_found=True))
+                files = sorted(f.path for f in listed if f.base_name.endswith(".parquet"))
+                while len(files) > fan_in:  # a pass over the first runs makes one longer run
+                    name = posixpath.join(where, f"_merged-{uuid.uuid4().hex}")
+                    with fs.open_output_stream(name) as out, pq.ParquetWriter(out, schema) as writer:
+                        for b in _merged(fs, files[:fan_in], schema):
+                            writer.write_batch(b)
+                    files = [*files[fan_in:], name]
+                yield from _merged(fs, files, schema)
+
+    return spark.range(0, n, 1, n).mapInArrow(merge, INDEX)
 
 
 def capture_histories(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes the archives, reads them back and merges their index runs: one row for each record."""
-    folder = scratch(pages.sparkSession, "warc")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = qualified(pages.sparkSession, scratch(pages.sparkSession, "warc"))
     archives = kept(write_archives(pages, folder, least), "archives").repartition(parts(pages.sparkSession))
     return merge_runs(read_archives(archives, folder))

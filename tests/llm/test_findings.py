@@ -1,8 +1,10 @@
 """Cases where an operator once did less than its whole job."""
 
 import random
+import time
 
-from llm import decontaminate, html, lm, secrets
+from llm import decontaminate, html, lm, pii, secrets, warc
+from llm.common import qualified, scratch
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -67,3 +69,39 @@ def test_layout_wrappers_do_not_hide_the_article():
         assert html.main_text(page, w) == "One two three"
     page = '<body><article><p>One two three</p></article><div class="comments"><article>reader says a lot of words</article></div></body>'
     assert html.main_text(page, w) == "One two three"
+
+
+def test_long_runs_of_digits_and_zeros():
+    for text in ("0" * 5_000 + ".1.1.1", "9" * 5_000 + ".1.1.1", "1." * 9 + "1", "1.2.3.4.5.6.7.8", "1..2.3.4.5", "01.002.3.256 1.2.3.4"):
+        want = [m.span() for m in pii.BASE["ip"].finditer(text) if all(int((p.lstrip("0") or "0")[:9]) <= 255 for p in m[0].split("."))]
+        assert [(a, b) for k, a, b in pii.base_spans(text) if k == "ip"] == want
+    start = time.time()
+    pii.all_spans("7" * 200_000, pii.Field())
+    pii.all_spans("a@b.cd " * 8_000, pii.Field({("email", "one"): 1.0}))
+    assert time.time() - start < 20
+
+
+def test_rows_of_one_page_with_different_payloads(spark):
+    rows = [(1, "http://a/x", "same"), (5, "http://a/y", "same"), (5, "http://a/y", "unique payload"), (None, None, "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.capture_histories(pages).where("page_id is not null").collect()}
+    assert found == {(1, 4, "revisit", None), (5, 4, "revisit", None), (5, 14, "response", None)}
+    found = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.capture_histories(pages.where("page_id is not null")).collect()}
+    assert found == {(1, 4, "response", None), (5, 4, "revisit", 1), (5, 14, "response", None)}
+
+
+def test_runs_are_merged_lazily_in_several_passes(spark):
+    rng = random.Random(8)
+    rows = [(i, f"http://h{rng.randrange(4)}.org/{rng.randrange(9)}", f"p{rng.randrange(40)}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    index = warc.read_archives(*_archives(spark, pages))
+    got = [(r.url_key, r.captured, r.page_id) for r in warc.merge_runs(index, fan_in=2).collect()]
+    assert got == sorted(got) and sorted(g[2] for g in got) == list(range(300))
+    taken = []
+    tree = warc.loser_tree([(taken.append(x) or x for x in range(k, 1_000, 3)) for k in range(3)])
+    assert [next(tree) for _ in range(5)] == [0, 1, 2, 3, 4] and len(taken) <= 8
+
+
+def _archives(spark, pages):
+    folder = qualified(spark, scratch(spark, "warc"))
+    return warc.write_archives(pages, folder), folder
