@@ -2,9 +2,9 @@
 
 Symbols are the bytes of UTF-8, ORDER of them a gram; every language has models of its own. The documents are
 written once in blocks of about BLOCK bytes, bucketed by block, so that no later step shuffles texts. Each block gives its
-distinct grams and how often its trusted documents have them. The counts are summed in shards by gram and joined,
+distinct grams and how often its trusted documents have them, dealt to shards by gram. The counts are summed in shards by gram and joined,
 order by order, with the totals, discounts and continuation counts of their contexts; the grams that blocks ask for
-are joined with these tables in the same shards, and the answers go back to the blocks, where the mean over all grams
+are joined with these tables, and the answers go from the shards back to the blocks, where the mean over all grams
 of a document gives its perplexity.
 
 Documents are in two folds by a hash of their id and each is scored by the model of the other fold, so no trusted
@@ -21,7 +21,6 @@ labels: the lowest quality counts; equal perplexities are decided alike; an empt
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,16 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from llm.common import kept, kept_in_buckets, parts
+from llm.common import kept, kept_in_buckets, map_arrow, parts
 
 ORDER = 5
 SYMBOLS = 256
-BLOCK = 8 << 20  # bytes of text in a block
+BLOCK = 32 << 20  # bytes of text in a block
 RUN = 1 << 20  # bytes of text whose grams are held at once
 QUANTILE = 0.98
 DIGITS = 3  # of a perplexity
-SALTS = 8  # keys over which a frequent gram's requests are spread
-FOLD_BIT, LANG_BITS = 15, 15  # a header of language and fold stands above the bytes of a gram
+LANG_BITS = 15  # a header of language and fold stands above the bytes of a gram
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +115,25 @@ def _light(docs: DataFrame) -> DataFrame:
     return docs.select("lm_block", "lm_row", F.col("lang").cast("string").alias("lm_lang"), F.col("text").cast("string").alias("lm_text"))
 
 
-def asked(docs: DataFrame, trusted: DataFrame, codes: dict[str, int]) -> DataFrame:
-    """lm_block, key (language and gram), n: the distinct grams of each block, and how often its trusted documents have them."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Sorted numbers as compressed differences; any number of them, the first 8 bytes tell how many."""
+    return len(numbers).to_bytes(8, "little") + pa.compress(np.diff(numbers, prepend=0).astype("<i8").tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    return np.cumsum(np.frombuffer(pa.decompress(raw[8:], size * 8, "zstd", asbytes=True), "<i8")) if size else np.zeros(0, np.int64)
+
+
+def shard_of(key, shards: int):  # noqa: ANN001, ANN201
+    """The shard of a key without fold, for numbers and for columns."""
+    if isinstance(key, F.Column):
+        return F.pmod(key.bitwiseXOR(F.shiftright(key, 13)).bitwiseXOR(F.shiftright(key, 29)), F.lit(shards)).cast("int")
+    return (key ^ (key >> 13) ^ (key >> 29)) % shards
+
+
+def asked(docs: DataFrame, trusted: DataFrame, codes: dict[str, int], shards: int) -> DataFrame:
+    """shard, lm_block, keys (language and gram), times: the distinct grams of each block, and how often its trusted documents have them."""
 
     def gather(block: pa.Table, rows: pa.Table) -> pa.Table:
         good = np.isin(block.column("lm_row").to_numpy(), rows.column("row").to_numpy())
@@ -134,11 +149,63 @@ def asked(docs: DataFrame, trusted: DataFrame, codes: dict[str, int]) -> DataFra
             gram, at = np.unique(np.concatenate(found), return_inverse=True)
             out_k.append((code << (8 * ORDER)) | gram)
             out_n.append(np.bincount(at, np.concatenate(times), minlength=len(gram)).astype(np.int64))
-        key = np.concatenate(out_k)
-        number = block.column("lm_block")[0].as_py() if block.num_rows else rows.column("lm_block")[0].as_py()
-        return pa.table({"lm_block": np.full(len(key), number), "key": key, "n": np.concatenate(out_n)})
+        key, n = np.concatenate(out_k), np.concatenate(out_n)
+        at = shard_of(key, shards)
+        order = np.argsort(at, kind="stable")  # keys stay sorted within a shard
+        key, n, at = key[order], n[order], at[order]
+        some = np.unique(at)
+        ends = np.searchsorted(at, some, "right").tolist()
+        places = list(zip(np.searchsorted(at, some).tolist(), ends, strict=True))
+        number = (block if block.num_rows else rows).column("lm_block")[0].as_py()
+        return pa.table({"shard": pa.array(some, pa.int32()), "lm_block": pa.array([number] * len(some), pa.int64()), "keys": pa.array([packed(key[a:b]) for a, b in places], pa.binary()), "times": pa.array([n[a:b].astype("<i8").tobytes() for a, b in places], pa.binary())})
+
+    return _light(docs).groupBy("lm_block").cogroup(trusted.select("lm_block", F.col("lm_row").alias("row")).groupBy("lm_block")).applyInArrow(gather, "shard int, lm_block long, keys binary, times binary")
+
+
+def _model_keys(key: np.ndarray, block: int, alone: frozenset[int]) -> np.ndarray:
+    """Keys with the fold of the model that scores the block: the other one, or its own where only that has trusted text."""
+    own = block % 2
+    lang = key >> (8 * ORDER)
+    lonely = np.isin(lang, [x // 2 for x in alone if x % 2 == own])
+    return key | (np.where(lonely, own, 1 - own) << (8 * ORDER + LANG_BITS))
+
+
+def counted(requests: DataFrame) -> DataFrame:
+    """gram (with its fold above the language), n: the sum over all blocks."""
 
-    return _light(docs).groupBy("lm_block").cogroup(trusted.select("lm_block", F.col("lm_row").alias("row")).groupBy("lm_block")).applyInArrow(gather, "lm_block long, key long, n long")
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        grams_, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for block, keys, times in zip(*(batch.column(c).to_pylist() for c in ("lm_block", "keys", "times")), strict=True):
+            t = np.frombuffer(times, "<i8")
+            grams_.append((unpacked(keys) | (block % 2 << (8 * ORDER + LANG_BITS)))[t > 0])
+            n.append(t[t > 0])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams_)), pa.array(np.concatenate(n))], ["gram", "n"])
+
+    return map_arrow(requests, each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def wanted(requests: DataFrame, alone: frozenset[int]) -> DataFrame:
+    """gram: the distinct grams that are asked for."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [_model_keys(unpacked(k), b, alone) for b, k in zip(batch.column("lm_block").to_pylist(), batch.column("keys").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own)))], ["gram"])
+
+    return map_arrow(requests.select("lm_block", "keys"), each, "gram long").distinct()
+
+
+def answered(requests: DataFrame, p: DataFrame, alone: frozenset[int], shards: int) -> DataFrame:
+    """lm_block, keys, p: the probabilities that a shard of the model gives for the grams of each block."""
+
+    def look(asking: pa.Table, model: pa.Table) -> pa.Table:
+        gram, value = model.column("gram").to_numpy(), model.column("p").to_numpy()
+        order = np.argsort(gram)
+        gram, value = gram[order], value[order]
+        out = [value[np.searchsorted(gram, _model_keys(unpacked(k), b, alone))].tobytes() for b, k in zip(asking.column("lm_block").to_pylist(), asking.column("keys").to_pylist(), strict=True)]
+        return pa.table({"lm_block": asking.column("lm_block"), "keys": asking.column("keys"), "p": pa.array(out, pa.binary())})
+
+    own = p.withColumn("shard", shard_of(F.col("gram").bitwiseAND((1 << (8 * ORDER + LANG_BITS)) - 1), shards))
+    return requests.select("shard", "lm_block", "keys").groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(look, "lm_block long, keys binary, p binary")
 
 
 # --- the model ---
@@ -173,9 +240,9 @@ def levels(counted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     return out[::-1]
 
 
-def probabilities(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """gram, p for the distinct grams of order ORDER in wanted (gram), by joins with every order of the model."""
-    orders = [wanted]
+def probabilities(grams_: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """gram, p for distinct grams of order ORDER, by joins with every order of the model."""
+    orders = [grams_]
     for k in range(ORDER, 1, -1):
         orders.append(kept(orders[-1].select(suffix(F.col("gram"), k).alias("gram")).distinct(), "wanted"))
     p = None
@@ -192,8 +259,9 @@ def probabilities(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -
 def fit(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """The model of the texts of trusted (text), as one language; for use with probabilities()."""
     docs = dealt(trusted.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.lit("").alias("lang")))
-    found = asked(docs, docs.select("lm_block", "lm_row"), {"": 0})
-    return levels(kept(found.groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")), "counts"))
+    found = counted(asked(docs, docs.select("lm_block", "lm_row"), {"": 0}, 8))
+    one = found.groupBy(F.col("gram").bitwiseAND((1 << (8 * ORDER + LANG_BITS)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
+    return levels(kept(one, "counts"))
 
 
 # --- scores ---
@@ -210,24 +278,19 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         raise ValueError("too many languages")
     result = "lm_block long, lm_row long, symbols long, perplexity double"
     if codes:
-        requests = kept(asked(docs, trusted, codes), "requests")
-        counted = kept(requests.where("n > 0").groupBy(_headed(F.pmod("lm_block", F.lit(2))).alias("gram")).agg(F.sum("n").alias("n")), "counts")
-        model = levels(counted)
-        # the other fold's model, or the own one where the other has no trusted text of that language
-        alone = [codes[a] * 2 + f for a, f in seen if (a, 1 - f) not in seen]
-        own = F.pmod("lm_block", F.lit(2))
-        lonely = (F.shiftright("key", 8 * ORDER) * 2 + own).isin(alone) if alone else F.lit(False)
-        with_gram = requests.select("lm_block", "key", _headed(F.when(lonely, own).otherwise(1 - own)).alias("gram"))
-        p = probabilities(kept(with_gram.select("gram").distinct(), "wanted"), model)
-        salted = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        answers = with_gram.withColumn("salt", F.pmod(F.xxhash64("lm_block"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"]).select("lm_block", "key", "p")
+        shards = 4 * parts(docs.sparkSession)
+        requests = kept(asked(docs, trusted, codes, shards), "requests")
+        alone = frozenset(codes[a] * 2 + f for a, f in seen if (a, 1 - f) not in seen)
+        p = probabilities(kept(wanted(requests, alone), "wanted"), levels(kept(counted(requests), "counts")))
+        answers = answered(requests, p, alone, shards)
     else:
-        answers = docs.sparkSession.createDataFrame([], "lm_block long, key long, p double")
+        answers = docs.sparkSession.createDataFrame([], "lm_block long, keys binary, p binary")
 
     def score(block: pa.Table, found: pa.Table) -> pa.Table:
         n = np.zeros(block.num_rows, dtype=np.int64)
         loss = np.full(block.num_rows, np.nan)
-        key, p = found.column("key").to_numpy(), found.column("p").to_numpy()
+        key = np.concatenate([np.zeros(0, np.int64), *map(unpacked, found.column("keys").to_pylist())])
+        p = np.frombuffer(b"".join(found.column("p").to_pylist()), "<f8")
         order = np.argsort(key)
         key, cost = key[order], -np.log(p[order])
         for i, t in enumerate(block.column("lm_text").to_pylist()):
@@ -248,11 +311,6 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return kept(both, "scores")
 
 
-def _headed(fold: F.Column) -> F.Column:
-    """The key with its fold above the language."""
-    return F.shiftleft(fold.cast("long"), 8 * ORDER + FOLD_BIT).bitwiseOR(F.col("key"))
-
-
 def length_class(symbols: F.Column) -> F.Column:
     return F.floor(F.log2(symbols.cast("double"))).cast("int")
 
