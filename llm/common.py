@@ -7,9 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 _OWN: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
@@ -78,6 +81,33 @@ def kept_in_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def in_blocks(df: DataFrame, text: str, size: int, block: str, row: str, odd: F.Column | None = None) -> DataFrame:
+    """df written in blocks of about `size` bytes of text and bucketed by block, with the number of the block and one of the row.
+
+    A block has rows of one partition only, so nothing is shuffled; blocks of rows where `odd` is 1 have odd numbers.
+    """
+    spark = df.sparkSession
+    schema = StructType([*df.schema.fields, StructField(block, LongType()), StructField(row, LongType())])
+    own = F.lit(0) if odd is None else odd
+    keys = df.withColumns({block: F.spark_partition_id().cast("long") * (1 << 24) + own, row: F.monotonically_increasing_id()})
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = np.zeros(2, dtype=np.int64)  # bytes so far in even and odd blocks
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64  # so that empty rows count too
+            key = batch.column(block).to_numpy()
+            at = np.zeros(len(n), dtype=np.int64)
+            for side in (0, 1):
+                mine = key & 1 == side
+                at[mine] = (done[side] + np.cumsum(n[mine]) - n[mine]) // size
+                done[side] += n[mine].sum()
+            yield batch.set_column(batch.schema.get_field_index(block), block, pa.array(key + 2 * at))
+
+    return kept_in_buckets(keys.mapInArrow(number, schema), block, parts(spark))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -61,7 +61,7 @@ def index(rows: list[tuple[int | None, str | None]]) -> Items:
     ids, words, seeds, item, place = [], [], [], [], []
     short: dict[int, dict[int, list[int]]] = {}
     if rows:
-        for row, end, w in blocks(plain(pa.array([t for _, t in rows], pa.string())), _MARKS):
+        for row, end, w in blocks(plain(pa.array([t for _, t in rows], pa.string())), separators=_MARKS):
             for d in range(end - row):
                 own = w.text(d)
                 grams = runs(own, SEED)
@@ -130,7 +130,7 @@ def found_in(column: pa.Array, items: Items, coverage: float) -> list[tuple[int,
     out = []
     if not len(items.seeds) and not items.short:
         return out
-    for row, _, w in blocks(plain(column), _MARKS):
+    for row, _, w in blocks(plain(column), separators=_MARKS):
         for size, by_hash in items.short.items():
             gram = runs(w.hashes, size)
             text, ok = whole(w.first, len(w.hashes), size)

@@ -25,12 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from llm.common import kept, kept_in_buckets, map_arrow, parts
+from llm.common import in_blocks, kept, map_arrow, parts
 
 ORDER = 5
 SYMBOLS = 256
@@ -81,28 +80,8 @@ def _by_language(table: pa.Table, codes: dict[str, int]) -> Iterator[tuple[int,
 
 
 def dealt(docs: DataFrame) -> DataFrame:
-    """docs with lm_row (its own for each row) and lm_block, which is odd for fold 1; bucketed by block, texts in bytes bounded."""
-    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2))
-    schema = StructType([*docs.schema.fields, StructField("lm_block", LongType()), StructField("lm_row", LongType())])
-    with_keys = docs.withColumns({"lm_block": F.spark_partition_id().cast("long") * (1 << 24) + fold, "lm_row": F.monotonically_increasing_id()})
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = np.zeros(2, dtype=np.int64)  # bytes so far in each fold
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            key = batch.column("lm_block").to_numpy()
-            odd = key & 1
-            block = np.zeros(len(n), dtype=np.int64)
-            for f in (0, 1):
-                own = odd == f
-                block[own] = (done[f] + np.cumsum(n[own]) - n[own]) // BLOCK
-                done[f] += n[own].sum()
-            at = batch.schema.get_field_index("lm_block")
-            yield batch.set_column(at, "lm_block", pa.array(key + 2 * block))
-
-    return kept_in_buckets(with_keys.mapInArrow(number, schema), "lm_block", parts(docs.sparkSession))
+    """docs in blocks: with lm_row (its own for each row) and lm_block, which is odd for fold 1."""
+    return in_blocks(docs, "text", BLOCK, "lm_block", "lm_row", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2)))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

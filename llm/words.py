@@ -65,8 +65,8 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
     _MARKS[_a:_b] = False
 
 
-def blocks(column: pa.Array, separators: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
-    """(from row, to row, words) for runs of rows of about BLOCK bytes. A null text has no words."""
+def blocks(column: pa.Array, size: int = BLOCK, separators: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
+    """(from row, to row, words) for runs of rows of about `size` bytes. A null text has no words."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
@@ -75,7 +75,7 @@ def blocks(column: pa.Array, separators: np.ndarray = _SPACE) -> Iterator[tuple[
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     row, n = 0, len(column)
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         end = min(end, n)
         own = offsets[row : end + 1]
         yield row, end, words_of(data[own[0] : own[-1]], own - own[0], separators)

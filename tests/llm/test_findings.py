@@ -3,8 +3,13 @@
 import random
 import time
 
-from llm import decontaminate, html, lm, pii, secrets, warc
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+
+from llm import decontaminate, html, lm, pii, repeats, secrets, warc
 from llm.common import qualified, scratch
+from llm.words import blocks
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -105,3 +110,31 @@ def test_runs_are_merged_lazily_in_several_passes(spark):
 def _archives(spark, pages):
     folder = qualified(spark, scratch(spark, "warc"))
     return warc.write_archives(pages, folder), folder
+
+
+def test_occurrences_come_from_the_automata():
+    words = [f"w{i}" for i in range(60)]
+    block = pa.table({"pid": [5, 6], "text": [" ".join(words), " ".join(["x", *words[10:45], "y"])], "block": [0, 0], "row": [0, 1]})
+    given = lambda rows: pa.table({"kind": pa.array([0] * len(rows), pa.int32()), "value": pa.nulls(len(rows), pa.int64()), "pid": pa.array([1] * len(rows), pa.int64()), "words": pa.array(rows, pa.binary())})
+    each, _ = repeats._final_rows(20, True)
+    assert each(block, given([])).column("n_removed").to_pylist() == [0, 0]
+    assert each(block, given([" ".join(words[5:50]).encode()])).column("n_removed").to_pylist() == [45, 35]
+    # two passages, of which neither holds the whole run
+    assert each(block, given([" ".join(words[5:30]).encode(), " ".join(words[11:40]).encode()])).column("n_removed").to_pylist() == [35, 30]
+    machine = repeats.Automaton(np.array([1]), [" ".join(words[5:50]).encode()], 20)
+    machine.machine = ahocorasick.Automaton()
+    machine.machine.add_word("nothing", (7, []))
+    machine.machine.make_automaton()
+    assert list(machine.occurrences(runs_of_words(words), 6)) == []
+
+
+def runs_of_words(words):
+    return next(iter(blocks(pa.array([" ".join(words)]))))[2].hashes
+
+
+def test_least_at_is_the_first_smallest():
+    rng = np.random.default_rng(3)
+    for n, width in ((0, 5), (3, 5), (50, 1), (50, 7), (64, 16)):
+        x = rng.integers(0, 6, n)
+        want = [i + int(np.argmin(x[i : i + width])) for i in range(max(0, n - width + 1))]
+        assert repeats.least_at(x, width).tolist() == want
