@@ -126,7 +126,6 @@ def bounded_sample(df: DataFrame, most: int, eligible: F.Column, *keys: str) ->
 
     Rows above a cutoff of the hash are left out where they are read, so little more than `most` rows leave the tasks.
     """
-    spark = df.sparkSession
     share = min(1.0, 4 * most / max(1, df.count()))
     hashed = df.withColumn("_h", F.xxhash64(*keys))
     while True:
@@ -134,7 +133,7 @@ def bounded_sample(df: DataFrame, most: int, eligible: F.Column, *keys: str) ->
         rows = hashed.where(below & F.coalesce(eligible, F.lit(False)))
         found = kept(rows.groupBy("_h").agg(F.min(F.struct(*df.columns)).alias("r")), "sample")
         if share == 1 or found.limit(most).count() == most:
-            return spark.createDataFrame(found.orderBy("_h").select("r.*").limit(most).collect(), df.schema)
+            return found.orderBy("_h").limit(most).select("r.*")
         share = min(1.0, 8 * share)
 
 

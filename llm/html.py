@@ -1,15 +1,18 @@
 """Main text of web pages by the maximum-scoring subsequence of their words and tags (operator 1).
 
-A page becomes a sequence of tokens. Each word scores its weight (positive), each tag its weight
-(negative); one linear scan finds the contiguous run with the largest sum, and the blocks in that run are
-the text. Weights are log odds from labelled pages: pages whose author marked the article. Parts
-that are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-comments) hold no scoring words and are left out of the run. A part that is one by its name alone is none where
-it holds the page's only article.
+A page becomes a sequence of tokens. A word scores the probability that it belongs to the article (positive), a tag
+scores minus the probability that it stands outside (negative); one linear scan finds the contiguous run with the
+largest sum. The blocks in that run are the text, without those whose features speak strongly against them.
+
+The probabilities are learnt by logistic regression from labelled pages: pages whose author marked the article. The mark
+itself is no feature. The features of a word are the elements it stands in, the words in their class, id and
+role names, whether they are hidden, and whether its block is mostly links. PRIOR holds what is assumed of features before any
+page is seen; labelled pages pull it either way. Only markup that is never text (scripts, styles and the like, comments) is
+left out by rule.
 
 Cases: a null or empty page, and one without words, has an empty text; markup that is never closed ends
 with the page; equal runs: the first one; repeated rows give repeated results; a table without labelled
-pages uses the weights in DEFAULTS; an empty table gives an empty result.
+pages uses PRIOR alone; an empty table gives an empty result. Pages are read in linear time.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,23 +28,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import map_arrow
+from llm.common import bounded_sample, map_arrow
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.DOTALL)
+NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile("[>\"']")
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
-RAW = ("script", "style", "textarea", "noscript", "template", "iframe", "xmp", "noframes")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.IGNORECASE)
+#: Elements that hold no text of a page.
+RAW = frozenset("script style textarea noscript template iframe xmp noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never the article's.
-OUTSIDE = frozenset("head nav header footer aside form button select menu dialog svg canvas audio video object title".split())
-#: Words in class, id and role names with the same meaning.
-OUTSIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments "
-    "cookie cookies consent gdpr notice notices alert newsletter subscribe subscription share sharing social related recommended popup modal dialog login search contentinfo complementary disqus discussion replies widget toolbar pagination pager".split()
-)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-MARKED = ("article", "main")
-#: Weights where no labelled page is at hand.
-DEFAULTS = {"word": 1.0, "word marked": 3.0, "tag": 3.0}
+#: The author's mark, which is the label and therefore no feature.
+MARK = ("article", "main")
+#: Elements that say nothing of their own: the mark, the page, and containers.
+SILENT = INLINE | {"article", "main", "html", "body", "div", "section", "center", "table", "tbody", "tr", "td"}
+#: Words that make a name tell the state of a page or a layout and not what an element is.
+STATES = frozenset("has no with without is not fixed sticky open closed enabled disabled active".split())
+#: What is assumed of elements (t) and of words in names (n) before any labelled page is seen.
+PRIOR = {("t", x): -3.0 for x in "head title nav header footer aside form button select menu dialog svg canvas audio video object".split()}
+PRIOR |= {("n", x): -3.0 for x in "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead".split()}
+PRIOR |= {("n", x): -3.0 for x in "comment comments cookie cookies consent gdpr notice notices alert newsletter subscribe subscription share sharing social related recommended popup modal dialog login search".split()}
+PRIOR |= {("n", x): -3.0 for x in "contentinfo complementary disqus discussion replies widget toolbar pagination pager".split()}
+PRIOR |= {("hidden", ""): -3.0, ("bias", ""): 1.0, ("links", ""): -0.5}
+#: A block in the run is left out where the odds that it belongs there are less than this.
+DROP = math.log(0.15 / 0.85)
+Feature = tuple[str, str]
 
 
 @dataclass
@@ -50,115 +61,178 @@ class Token:
     raw: str = ""  # that text, its character references decoded
     tag: str = ""
     block: int = 0
-    marked: bool = False  # within an element by which the author marks the article
-    outside: bool = False  # within a part that is never article text
+    marked: bool = False  # within the author's mark
+    linked: bool = False  # within a link
+    features: frozenset[Feature] = frozenset()  # of the elements that are open
+
 
+def _tag_end(page: str, at: int) -> int:
+    """The place of the > that ends a tag; one in quotes does not, unless the quote is never closed."""
+    i = at
+    while m := STOP.search(page, i):
+        if m[0] == ">":
+            return m.start()
+        close = page.find(m[0], m.end())
+        if close < 0:
+            return page.find(">", m.end())
+        i = close + 1
+    return page.find(">", at)
 
-def _is_outside(tag: str, attributes: str) -> bool:
-    if tag in OUTSIDE:
-        return True
-    if tag in ("html", "body", *MARKED) and "comment" not in attributes.lower():
-        return False
-    if "hidden" in attributes and re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes):
-        return True
+
+def _features(tag: str, attributes: str) -> list[Feature]:
+    """What an element says of the text in it."""
+    out = [] if tag in SILENT else [("t", tag)]
+    if tag in ("html", "body") or not attributes:
+        return out
     for m in NAMES.findall(attributes):
-        if OUTSIDE_NAMES.intersection(re.split(r"[^a-z0-9]+", m.lower())):
-            return True
-    return False
+        for name in m.strip("\"'").lower().split():
+            words = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+            if not STATES.intersection(words):
+                out += [("n", x) for x in words]
+    if HIDDEN.search(attributes):
+        out.append(("hidden", ""))
+    return out
 
 
-def tokens(page: str, through_names: bool = False) -> Iterator[Token]:
-    """through_names: the first article opens in parts that are outside by their names alone."""
+def tokens(page: str, known: dict[Feature, float] | None = None) -> Iterator[Token]:
+    """The words and tags of a page; with known, only the features in it."""
     at, block, size = 0, 0, len(page)
-    open_marks: list[str] = []
-    seen = False  # an article was open
-    shut: list[str] = []  # open elements since the outermost outside part, that part first
+    stack: list[tuple[str, frozenset[Feature]]] = []
+    opened: Counter[str] = Counter()
+    now: frozenset[Feature] = frozenset()
+
+    def token(tag: str = "", raw: str = "") -> Token:
+        return Token(raw.split(), raw, tag, block, opened["article"] + opened["main"] > 0, opened["a"] > 0, now)
+
+    text = ""
     while at < size:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else size]
+        m = page.find("<", at)
+        text += page[at : m if m >= 0 else size]
+        if m < 0:
+            break
+        at = m
+        name = NAME.match(page, at + 1)
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = size if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at + 9)
+            end = size if end < 0 else end + 3
+        elif name or page.startswith(("<!", "<?"), at):
+            end = _tag_end(page, name.end()) if name else page.find(">", at)
+            if end < 0:  # no tag ends any more: the rest is text
+                text += page[at:]
+                break
+            end += 1
+        else:
+            text += "<"
+            at += 1
+            continue
         if text:
-            text = entities.unescape(text)
-            yield Token(text.split(), text, "", block, bool(open_marks), bool(shut))
-        if not m:
-            return
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+            yield token(raw=entities.unescape(text))
+            text = ""
+        at = end
+        if not name:
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        tag, closing, attributes = name[1].lower(), page[m + 1] == "/", page[name.end() : end - 1]
         if tag in RAW and not closing:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
-            at = end.end() if end else size
-            yield Token([], "", tag, block, bool(open_marks), True)
+            close = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
+            at = close.end() if close else size
+            yield token(tag)
             continue
         if tag not in INLINE:
             block += 1
         if closing:
-            if shut:
-                if tag in shut:
-                    del shut[len(shut) - 1 - shut[::-1].index(tag) :]
-                elif tag in ("body", "html", *MARKED):
-                    shut.clear()
-            if tag in open_marks and not shut:
-                del open_marks[len(open_marks) - 1 - open_marks[::-1].index(tag) :]
-            yield Token([], "", tag, block, bool(open_marks), bool(shut))
+            if opened[tag]:
+                yield token(tag)
+                while True:
+                    last, before = stack.pop()
+                    opened[last] -= 1
+                    now = before
+                    if last == tag:
+                        break
+            else:
+                yield token(tag)
             continue
-        if tag not in VOID and not attributes.rstrip().endswith("/"):
-            if tag in ("main", "body") or tag == "article" and shut and not _is_outside(tag, attributes) and not any(x in ("section", "div", "article", "aside") for x in shut):
-                shut.clear()  # an outside part that was never closed
-            elif through_names and not seen and tag == "article" and not _is_outside(tag, attributes) and not OUTSIDE.intersection(shut):
-                shut.clear()  # a layout wrapper
-            if shut or _is_outside(tag, attributes):
-                if tag not in ("p", "li", "br") or not shut:
-                    shut.append(tag)
-            elif tag in MARKED:
-                open_marks.append(tag)
-                seen = True
-        yield Token([], "", tag, block, bool(open_marks), bool(shut))
-
-
-def sequence(page: str) -> list[Token]:
-    """Its tokens. Where all marked text is in parts that are outside by their names alone, such a part is a layout wrapper."""
-    seq = list(tokens(page))
-    if not any(t.marked and t.words and not t.outside for t in seq) and any(t.tag == "article" for t in seq):
-        return list(tokens(page, True))
-    return seq
+        if tag not in VOID and not attributes.endswith("/"):
+            if tag in ("body", "main") or tag in MARK and not opened["article"]:
+                # the page or its article begins: parts before it that were never closed end, but for containers
+                while stack and stack[-1][0] in ("head", "nav", "header", "footer", "ul", "ol", "li", "p") and (tag != "article" or not any(t in SILENT - INLINE for t, _ in stack)):
+                    last, now = stack.pop()
+                    opened[last] -= 1
+            stack.append((tag, now))
+            opened[tag] += 1
+            new = frozenset(f for f in _features(tag, attributes) if known is None or f in known)
+            if not new <= now:
+                now = now | new
+        yield token(tag)
+    if text:
+        yield token(raw=entities.unescape(text))
 
 
 @dataclass
 class Weights:
-    """What a word or a tag adds to a run; positive for words, negative for tags."""
+    """Log odds of features, and the probability of a tag to stand outside."""
 
-    word: float
-    word_marked: float
-    tag: dict[str, float]
-    other_tag: float
+    odds: dict[Feature, float]
+    outside: dict[str, float]
+    other: float
+
+    def value(self, features: frozenset[Feature], links: bool = False) -> float:
+        """Log odds of a word with these features to be in the article."""
+        return self.odds.get(("bias", ""), 0.0) + sum(self.odds.get(f, 0.0) for f in features) + (self.odds.get(("links", ""), 0.0) if links else 0.0)
 
-    def score(self, t: Token) -> float:
-        if t.tag:
-            cost = self.tag.get(t.tag, self.other_tag)
-            return -min(cost, 0.05) if t.marked or t.outside and t.tag not in MARKED else -cost
-        if t.outside:
-            return 0.0
-        return len(t.words) * (self.word_marked if t.marked else self.word)
 
+def _chance(odds: float) -> float:
+    return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, odds))))
 
-def fit(pages: list[str]) -> Weights:
-    """Log odds of words and tags within and outside the article, from pages whose author marked it."""
-    words, inner, outer = Counter(), Counter(), Counter()
+
+def link_blocks(seq: list[Token]) -> set[int]:
+    """Blocks of which more than half of the words are links."""
+    words, linked = Counter(), Counter()
+    for t in seq:
+        words[t.block] += len(t.words)
+        linked[t.block] += len(t.words) * t.linked
+    return {b for b, n in linked.items() if 2 * n > words[b]}
+
+
+def fit(pages: list[str], rounds: int = 30, rate: float = 0.5, pull: float = 0.002, prior: dict[Feature, float] | None = None) -> Weights:
+    """Logistic regression over the blocks of the pages whose author marked the article, pulled towards the prior.
+
+    Text outside the mark is outside the article; text in it is in the article, unless the prior alone speaks against it: such
+    text (an aside in an article) is not labelled.
+    """
+    prior = PRIOR if prior is None else prior
+    start = Weights(prior, {}, 0.5)
+    cases: Counter[tuple[frozenset[Feature], bool, bool]] = Counter()
+    tags: dict[str, list[int]] = defaultdict(lambda: [1, 1])  # inside, outside
     for page in pages:
-        for t in sequence(page):
-            if t.tag:
-                (inner if t.marked else outer)[t.tag] += 1
-            elif t.words:
-                words[t.marked and not t.outside] += len(t.words)
-    if not words[True]:
-        return Weights(DEFAULTS["word"], DEFAULTS["word marked"], {}, DEFAULTS["tag"])
-    n_in, n_out = sum(inner.values()) + 1, sum(outer.values()) + 1
-    odds = {t: math.log(((outer[t] + 0.5) / n_out) / ((inner[t] + 0.5) / n_in)) for t in inner | outer}
-    tag = {t: min(6.0, max(0.2, 1.0 + o)) for t, o in odds.items() if t not in MARKED}
-    marked = min(6.0, max(1.0, math.log((words[True] + 1) / (words[False] + 1)) + 1))
-    return Weights(DEFAULTS["word"], DEFAULTS["word"] + marked, tag, min(6.0, max(0.5, sum(tag.values()) / max(1, len(tag)))))
+        seq = list(tokens(page))
+        if not any(t.marked and t.words for t in seq):
+            continue
+        links = link_blocks(seq)
+        for t in seq:
+            against = t.marked and start.value(t.features) < 0
+            if t.words and not against:
+                cases[t.features, t.block in links, t.marked] += 1
+            elif t.tag and t.tag not in MARK:
+                tags[t.tag][not t.marked or against] += 1
+    odds = dict(prior)
+    total = sum(cases.values())
+    squares: dict[Feature, float] = defaultdict(lambda: 1e-8)
+    for _ in range(rounds if total else 0):
+        steps: dict[Feature, float] = defaultdict(float)
+        for (features, links, inside), n in cases.items():
+            own = [("bias", ""), *features, *([("links", "")] if links else [])]
+            error = n * (inside - _chance(sum(odds.get(f, 0.0) for f in own))) / total
+            for f in own:
+                steps[f] += error
+        for f, g in sorted(steps.items()):
+            g -= pull * (odds.get(f, 0.0) - prior.get(f, 0.0))
+            squares[f] += g * g
+            odds[f] = odds.get(f, 0.0) + rate * g / math.sqrt(squares[f])
+    outside = {t: b / (a + b) for t, (a, b) in tags.items()}
+    return Weights({f: x for f, x in odds.items() if abs(x) > 0.01}, outside, 0.5)
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -174,17 +248,40 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def scored(page: str, weights: Weights) -> tuple[list[Token], list[float], list[bool]]:
+    """The tokens of a page, their scores, and which of them a run leaves out."""
+    seq = list(tokens(page, weights.odds))
+    links = link_blocks(seq)
+    odds: dict[tuple[frozenset[Feature], bool], float] = {}
+    scores, out = [], []
+    shut = False  # within a part that is left out
+    for t in seq:
+        key = t.features, t.block in links
+        if key not in odds:
+            odds[key] = weights.value(*key)
+        value = odds[key]
+        if t.tag:
+            away = weights.value(t.features) < DROP if t.features else False
+            # the tags within such a part count little, as its first one has been counted
+            scores.append(-0.05 if shut and away else -weights.outside.get(t.tag, weights.other) if away or value < 2 else -weights.outside.get(t.tag, weights.other) * (1 - _chance(value)))
+            shut = away
+            out.append(False)
+        else:
+            scores.append(len(t.words) * _chance(value))
+            out.append(value < DROP)
+    return seq, scores, out
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
-    seq = sequence(page)
-    start, end = best_run([weights.score(t) for t in seq])
+    seq, scores, left_out = scored(page, weights)
+    start, end = best_run(scores)
     out: list[str] = []
     block, line = -1, ""
     gap = False
-    for i in range(start, end):
-        t = seq[i]
-        if t.outside and not t.tag:
+    for t, drop in zip(seq[start:end], left_out[start:end], strict=True):
+        if drop:
             continue
         if t.block != block:
             if line:
@@ -204,15 +301,16 @@ def main_text(page: str | None, weights: Weights) -> str:
     return "\n".join(out)
 
 
-def labelled(pages: DataFrame, most: int) -> list[str]:
-    """At most `most` pages whose author marked the article, by a hash of their id: a bounded sample for the weights."""
-    marked = pages.where(F.lower("html").rlike("<(article|main)[ >]"))
-    return [r["html"] for r in marked.select("html", F.xxhash64("page_id").alias("h")).orderBy("h", "html").limit(most).collect()]
+def labelled(pages: DataFrame, most: int, longest: int) -> list[str]:
+    """At most `most` pages of at most `longest` characters whose author marked the article: a bounded sample by a hash of the page."""
+    some = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    marked = F.lower("html").rlike("<(article|main)[ >]") & (F.length("html") <= longest)
+    return [r["html"] for r in bounded_sample(some, most, marked, "page_id", "html").collect()]
 
 
-def extract(pages: DataFrame, weights: Weights | None = None, labelled_pages: int = 300) -> DataFrame:
+def extract(pages: DataFrame, weights: Weights | None = None, labelled_pages: int = 300, longest: int = 50_000) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html)."""
-    w = weights or fit(labelled(pages, labelled_pages))
+    w = weights or fit(labelled(pages, labelled_pages, longest))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [main_text(h, w) for h in batch.column("html").to_pylist()]

@@ -1,10 +1,11 @@
 """Secret scan with a random forest against false positives (operator 3).
 
-Candidates are long runs of key characters with a digit, runs that begin as an issuer's keys do, and whatever is
-assigned to a key word, of any length and characters. Spark ML's random forest scores each from its length,
+Candidates are runs of key characters with a digit or a capital within, runs that begin as an issuer's keys do, private key blocks, and
+whatever is assigned to a key word, of any length and characters. Spark ML's random forest scores each from its length,
 the transitions between its characters, the share that dictionary words cover, the document's path and
-the words beside it. It is trained on labelled findings: candidates whose form or place tells what they
-are; the signs by which they are labelled are hidden from a part of them, so that the forest learns the rest.
+the words and signs beside it; it alone decides. It is trained on labelled findings: candidates whose place tells what they are
+(see ``label``). The signs by which they are labelled are no features. Every finding is learnt twice, once
+without what stands beside it, so that the forest does not lean on the usual surroundings.
 
 Cases: null and empty texts have no candidates; repeated rows give repeated findings; a null path is an empty
 one; without findings of both kinds to learn from, the labels themselves decide; other columns are ignored; an
@@ -13,6 +14,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -23,23 +25,25 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import kept, map_arrow
+from llm.common import bounded_sample, kept, map_arrow
 
-CANDIDATE = re.compile(r"[A-Za-z0-9_+/-]{12,}={0,2}")
-DIGIT = re.compile("[0-9]")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{8,}={0,2}")
+INNER = re.compile("[0-9]|[a-z][A-Z]|=$")
+BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.DOTALL)
 #: Words that stand before a secret, and the beginnings that issuers give their keys.
 KEY_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential")
-ISSUED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-|sk_live_|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10}")
+ISSUED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-|sk_live_|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10}|-----BEGIN ")
 BEFORE = re.compile(r"([A-Za-z_]+)[\"']?\s*[=:]\s*[\"']?$")
 #: What is assigned to a name with a key word: in quotes, or up to a blank or bracket.
 ASSIGNED = re.compile(r"""(?i)(?<![A-Za-z_])[A-Za-z_]*(?:%s)[A-Za-z_]*["']?\s*[=:]\s*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"',;<>(){}\[\]]+))""" % "|".join(KEY_WORDS))
-RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{8,}={0,2}")
-HINT = re.compile("(?i)[0-9]|[=:]|xox|sk_live_|gh[pousr]_|AKIA|ASIA|AIza|eyJ")
+HINT = re.compile("(?i)[0-9]|[=:]|xox|sk_live_|gh[pousr]_|AKIA|ASIA|AIza|eyJ|-----BEGIN |(?-i:[a-z][A-Z])")
 WORD = re.compile(r"[^\W\d_]{3,}")
-HIDE = 0.3  # of the labelled findings have the signs by which they were labelled hidden
-SAMPLE_DOCS = 4_000  # texts from which findings are labelled
+SAMPLE_DOCS, SAMPLE_LONGEST = 4_000, 20_000  # texts from which findings are labelled, and their characters at most
 DICTIONARY = 5_000  # words
-FEATURES = ("length", "entropy", "letter to digit", "digit to letter", "case changes", "hex share", "upper share", "digit share", "sign share", "padded", "dictionary", "key word", "assigned", "quoted", "issued", "next to @", "next to a dot", "path config", "path length", "word before", "word after")
+#: What a candidate is, and what stands beside it.
+OWN = ("length", "entropy", "letter to digit", "digit to letter", "case changes", "hex share", "upper share", "digit share", "sign share", "padded", "dictionary")
+BESIDE = ("assigned", "quoted", "path config", "path length", "known before", "known after", "length before", "length after")
+FEATURES = OWN + BESIDE
 
 
 def transitions(s: str) -> list[float]:
@@ -70,45 +74,53 @@ def covered(s: str, words: frozenset[str]) -> float:
 def features(text: str, a: int, b: int, path: str, words: frozenset[str]) -> list[float]:
     s = text[a:b]
     before, after = text[max(0, a - 40) : a], text[b : b + 24]
-    m = BEFORE.search(before)
     share = lambda f: sum(map(f, s)) / len(s)
-    left, right = WORD.findall(before), WORD.findall(after)
+    # a key word is a sign of the label: the word before it stands in its place
+    left = [x for x in WORD.findall(before) if not any(k in x.lower() for k in KEY_WORDS)]
+    right = WORD.findall(after)
     return [
-        float(len(s)), entropy(s), *transitions(s), share(lambda c: c in "0123456789abcdef"), share(str.isupper), share(str.isdigit), share(lambda c: not c.isalnum()), float(s.endswith("=")), covered(s, words),
-        float(bool(m) and any(k in m[1].lower() for k in KEY_WORDS)), float(bool(m)), float(before[-1:] in ("'", '"')), float(bool(ISSUED.match(s))), float("@" in (before[-1:], after[:1])), float("." in (before[-1:], after[:1])),
-        float(bool(re.search(r"env|conf|secret|cred|yaml|ini", path.lower()))), float(len(path)), float(bool(left) and left[-1].lower() in words), float(bool(right) and right[0].lower() in words),
+        float(len(s)), entropy(s), *transitions(s), share(lambda c: c in "0123456789abcdef"), share(str.isupper), share(str.isdigit), share(lambda c: not c.isalnum()), float(s.endswith("=")), covered(s[:512], words),
+        float(bool(BEFORE.search(before))), float(before[-1:] in ("'", '"')), float(bool(re.search(r"env|conf|secret|cred|yaml|ini", path.lower()))), float(len(path)),
+        float(bool(left) and left[-1].lower() in words), float(bool(right) and right[0].lower() in words), float(len(left[-1]) if left else 0), float(len(right[0]) if right else 0),
     ]
 
 
-def label(f: list[float]) -> int:
-    """1 secret, 0 none, -1 unknown: by form or place."""
-    x = dict(zip(FEATURES, f, strict=True))
-    if x["issued"] or x["key word"] and x["entropy"] > 2.5:
+def label(text: str, a: int, b: int) -> int:
+    """1 secret: as an issuer writes it, or assigned to a key word by = or in quotes. 0 none: part of an address, of a dotted name, or a card number. -1 unknown."""
+    s = text[a:b]
+    before, after = text[max(0, a - 40) : a], text[b : b + 1]
+    m = BEFORE.search(before)
+    named = bool(m) and any(k in m[1].lower() for k in KEY_WORDS)
+    if ISSUED.match(s) or named and (before[-1:] in ("'", '"') or "=" in m[0]):
         return 1
-    if x["next to @"] or x["digit share"] == 1.0 or x["dictionary"] > 0.7 or x["digit share"] < 0.1 and x["entropy"] < 3.2 or x["next to a dot"] and not x["assigned"]:
+    if not named and ("@" in (before[-1:], after) or "." in (before[-1:], after) and not before.endswith(". ") or s.isdigit() and 12 <= len(s) <= 19 and luhn(s)):
         return 0
     return -1
 
 
+def luhn(digits: str) -> bool:
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
 def places(text: str) -> list[tuple[int, int]]:
-    """Start and end of the candidates of a text; of two that overlap, an assigned value, else the first one."""
-    out = []
-    for m in ASSIGNED.finditer(text):
-        out.append(m.span(next(i for i in (1, 2, 3) if m[i] is not None)))
-    more = [m.span() for m in CANDIDATE.finditer(text) if DIGIT.search(m[0])] + [m.span() for m in RUN.finditer(text) if ISSUED.match(m[0])]
-    at, free = 0, []
-    for a, b in sorted(set(more)):
-        while at < len(out) and out[at][1] <= a:
-            at += 1
-        if (at == len(out) or out[at][0] >= b) and (not free or free[-1][1] <= a):
-            free.append((a, b))
-    return sorted(out + free)
+    """Start and end of the candidates of a text; of two that overlap, a key block, then an assigned value, else the first one."""
+    out = [m.span() for m in BLOCK.finditer(text)] if "-----BEGIN " in text else []
+    for more in (
+        [m.span(next(i for i in (1, 2, 3) if m[i] is not None)) for m in ASSIGNED.finditer(text)],
+        [m.span() for m in CANDIDATE.finditer(text) if INNER.search(m[0]) or ISSUED.match(m[0])],
+    ):
+        at, free = 0, []
+        for a, b in sorted(set(more)):
+            while at < len(out) and out[at][1] <= a:
+                at += 1
+            if (at == len(out) or out[at][0] >= b) and (not free or free[-1][1] <= a):
+                free.append((a, b))
+        out = sorted(out + free)
+    return out
 
 
 def candidates(docs: DataFrame, words: frozenset[str]) -> DataFrame:
     """doc_id, start, end, sha256 of the candidate, features, label (doc_id, text, path)."""
-    import hashlib
-
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
         for doc, text, path in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "path")), strict=True):
@@ -116,7 +128,7 @@ def candidates(docs: DataFrame, words: frozenset[str]) -> DataFrame:
                 continue
             for a, b in places(text):
                 f = features(text, a, b, path or "", words)
-                rows.append((doc, a, b, hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest(), f, label(f)))
+                rows.append((doc, a, b, hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest(), f, label(text, a, b)))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "start", "end", "sha256", "features", "label"])
 
@@ -130,14 +142,13 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[frozenset[str], RandomForestClassificationModel | None]:
-    """Dictionary, and a forest from at most sample_docs texts with digits or assignments, by a hash of their ids; the dictionary from all."""
-    some = kept(docs.where(F.col("text").rlike(HINT.pattern)).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "text").limit(sample_docs).drop("h"), "sample")
+    """Dictionary, and a forest from at most sample_docs texts (of at most SAMPLE_LONGEST characters) with digits or assignments, by a hash; the dictionary from all."""
+    wanted = F.col("text").rlike(HINT.pattern) & (F.length("text") <= SAMPLE_LONGEST)
+    some = bounded_sample(docs.select("doc_id", "text", "path"), sample_docs, wanted, "doc_id", "text")
     words = dictionary(docs)
     found = candidates(some, words).where("label >= 0")
-    hide = F.pmod(F.xxhash64("doc_id", "start"), F.lit(100)) < int(100 * HIDE)
-    told = [FEATURES.index(x) for x in ("key word", "issued", "next to @", "next to a dot")]
-    blind = F.transform("features", lambda x, i: F.when(i.isin(told), F.lit(0.0)).otherwise(x))
-    rows = kept(found.select(array_to_vector(F.when(hide, blind).otherwise(F.col("features"))).alias("x"), F.col("label").cast("double").alias("label")), "findings")
+    twice = F.explode(F.array(F.col("features"), F.transform("features", lambda x, i: F.when(i < len(OWN), x).otherwise(F.lit(0.0)))))
+    rows = kept(found.select(twice.alias("f"), F.col("label").cast("double").alias("label")).select(array_to_vector("f").alias("x"), "label"), "findings")
     if rows.select("label").distinct().count() < 2:
         return words, None
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=24, maxDepth=8, maxBins=32, featureSubsetStrategy="sqrt", seed=7)
