@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -71,6 +73,22 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_file(df: DataFrame, name: str) -> str:
+    """df written to the shared folder; the place as tasks open it."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return qualified(df.sparkSession, path)
+
+
+def read_shared(uri: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """Within a task: the rows of a shared file in batches of at most `rows`, in the same order in every task."""
+    fs, base = pafs.FileSystem.from_uri(uri)
+    for info in sorted(fs.get_file_info(pafs.FileSelector(base)), key=lambda f: f.path):
+        if info.base_name.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                yield from pq.ParquetFile(f).iter_batches(rows)
+
+
 def kept_in_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
     """Like kept(), in buckets of a column: what is grouped or joined by that column is not shuffled again."""
     spark = df.sparkSession
@@ -89,6 +107,9 @@ def in_blocks(df: DataFrame, text: str, size: int, block: str, row: str, odd: F.
     spark = df.sparkSession
     schema = StructType([*df.schema.fields, StructField(block, LongType()), StructField(row, LongType())])
     own = F.lit(0) if odd is None else odd
+    # small partitions are read together, so that blocks are full
+    bytes_ = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    df = df.coalesce(max(1, -(-bytes_ // (size if odd is None else 2 * size))))
     keys = df.withColumns({block: F.spark_partition_id().cast("long") * (1 << 24) + own, row: F.monotonically_increasing_id()})
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

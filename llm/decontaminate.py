@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling (operator 8).
 
-Benchmark items are sent to all documents in blocks of a bounded number of words. Documents and items join on
+Benchmark items stand in a file that all tasks read in blocks of a bounded number of words. Documents and items join on
 shared seeds (SEED words); where the seeds could cover enough of an item, greedy string tiling marks the
 longest common runs that do not overlap, found by running Karp-Rabin hashes of falling length, until no run
 of SEED words is left. An item is leaked where its tiles cover enough of it, in whatever order they stand.
@@ -16,7 +16,9 @@ items of one id count once each text; an item with a null id is judged like othe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from llm.common import map_arrow
+from llm.common import map_arrow, read_shared, shared_file
 from llm.words import _MARKS, U, blocks, in_sorted, runs, whole
 
 SEED = 5
@@ -79,7 +81,7 @@ def index(rows: list[tuple[int | None, str | None]]) -> Items:
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two arrays of word hashes: (place in item, place in text, length)."""
+    """Greedy string tiling of two arrays of word hashes: (place in item, place in text, length). The longest match that is left is always next."""
     free_i, free_t = np.ones(len(item), dtype=bool), np.ones(len(text), dtype=bool)
     out: list[tuple[int, int, int]] = []
     size = max(least, min(len(item), 4 * least))
@@ -88,14 +90,20 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[i
         if longest > 2 * size:
             size = longest  # very long runs: start again from there
             continue
-        marked = False
-        for i, t, n in sorted(found, key=lambda m: (-m[2], m[0], m[1])):
-            if free_i[i : i + n].all() and free_t[t : t + n].all():
-                free_i[i : i + n] = free_t[t : t + n] = False
-                out.append((i, t, n))
-                marked = True
-        if marked and found:
-            continue  # what the tiles have cut off may still hold runs of this length
+        queue = [(-n, i, t) for i, t, n in found]
+        heapify(queue)
+        while queue:
+            n, i, t = heappop(queue)
+            both = free_i[i : i - n] & free_t[t : t - n]
+            if both.all():
+                free_i[i : i - n] = free_t[t : t - n] = False
+                out.append((i, t, -n))
+                continue
+            # what other tiles have left of it waits for its turn; parts shorter than size come with a smaller size
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], both, [False]]).astype(np.int8)))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if b - a >= size:
+                    heappush(queue, (a - b, i + a, t + a))
         size = size // 2 if size > 2 * least else least if size > least else 0
     return out
 
@@ -158,42 +166,55 @@ def found_in(column: pa.Array, items: Items, coverage: float) -> list[tuple[int,
     return out
 
 
-def _blocks_of(benchmark: DataFrame, words: int) -> list[Items]:
-    """The items in blocks; each is bounded, so each may go through the driver."""
-    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
-    total = own.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-int(total) // (6 * words)))
-    by = own.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+_INDEXED: dict[str, list[Items]] = {}
+
+
+def _item_file(benchmark: DataFrame) -> str:
+    """The distinct items in the shared folder."""
+    return shared_file(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct(), "items")
+
+
+def _blocks_of(uri: str, words: int) -> Iterator[Items]:
+    """Within a task: the items in blocks of about `words` words. A benchmark of one block is indexed once in a worker, a larger one is read block by block."""
+    if uri in _INDEXED:
+        yield from _INDEXED[uri]
+        return
     order = lambda item: (item[0] is not None, item[0] or 0, item[1])  # noqa: E731  a null id is the smallest
-    return [index(sorted(((r["item_id"], r["text"]) for r in by.where(F.col("block") == b).select("item_id", "text").collect()), key=order)) for b in range(n)]
+    rows, size, blocks_ = [], 0, 0
+    for batch in read_shared(uri, 1_024):
+        for item in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            rows.append(item)
+            size += len(item[1])
+            if size > 6 * words:
+                yield index(sorted(rows, key=order))
+                rows, size, blocks_ = [], 0, blocks_ + 1
+    last = index(sorted(rows, key=order))
+    if not blocks_:
+        _INDEXED.clear()
+        _INDEXED[uri] = [last]
+    yield last
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles for every document (doc_id, text) and benchmark item (item_id, text) that it leaks."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for items in _blocks_of(benchmark, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def each(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            rows = found_in(batch.column("text"), sent.value, coverage)
-            ids = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
-            return pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64())))], ["doc_id", "item_id", "coverage", "n_tiles"])
-
-        part = map_arrow(base, each, "doc_id long, item_id long, coverage double, n_tiles long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    uri = _item_file(benchmark)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [r for items in _blocks_of(uri, block_words) for r in found_in(batch.column("text"), items, coverage)]
+        ids = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
+        return pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64())))], ["doc_id", "item_id", "coverage", "n_tiles"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), each, "doc_id long, item_id long, coverage double, n_tiles long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the documents that leak an item."""
-    for items in _blocks_of(benchmark, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+    uri = _item_file(benchmark)
 
-        def each(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            keep = np.ones(batch.num_rows, dtype=bool)
-            keep[[r[0] for r in found_in(batch.column("text"), sent.value, coverage)]] = False
-            return batch.filter(pa.array(keep))
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = np.ones(batch.num_rows, dtype=bool)
+        for items in _blocks_of(uri, block_words):
+            keep[[r[0] for r in found_in(batch.column("text"), items, coverage)]] = False
+        return batch.filter(pa.array(keep))
 
-        docs = map_arrow(docs, each, StructType(list(docs.schema.fields)))
-    return docs
+    return map_arrow(docs, each, StructType(list(docs.schema.fields)))

@@ -1,8 +1,8 @@
 """Byte-level BPE by overlapping chunks (operator 9).
 
-A short text is one piece. A long one is cut into chunks that overlap; each chunk is pre-tokenised
-on its own, neighbours are stitched at a place in the overlap where both have a pre-token boundary,
-and the pieces between such places are encoded in parallel. Decoding concatenates raw bytes.
+A text is cut into chunks that overlap; each chunk is pre-tokenised on its own, neighbours are stitched at a place in the
+overlap where both have a pre-token boundary, and the pieces between such places are encoded in parallel. Decoding concatenates
+raw bytes. A text of one chunk has no seam: it is its only piece, and is encoded where it is read.
 
 Cases: a null text is an empty one (no ids); repeated rows give repeated results; other columns of
 the input are ignored; an empty table gives an empty result.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,9 +51,28 @@ def _ids(enc: tiktoken.Encoding, text: str) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """key, chunk number, its start and its text with the overlap, for texts of over one chunk."""
-    n = F.ceil(F.length("text") / F.lit(chunk)).cast("int")
-    return docs.select("key", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("no")).select("key", "no", F.col("text").substr(F.col("no") * chunk + 1, F.lit(chunk + overlap)).alias("part")).repartition(parts(docs.sparkSession), "key", "no")
+    """key, chunk number and its text with the overlap, for texts of over one chunk; in one pass over each text."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                parts_ = [text[a : a + chunk + overlap] for a in range(0, len(text), chunk)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(parts_)), pa.array(range(len(parts_)), pa.int32()), pa.array(parts_, pa.string())], ["key", "no", "part"])
+
+    return docs.select("key", "text").mapInArrow(each, "key string, no int, part string").repartition(parts(docs.sparkSession), "key", "no")
+
+
+def pieces_of(docs: DataFrame) -> DataFrame:
+    """key, number and text of the pieces between the cuts of docs (key, text, cuts)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, at in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "cuts")), strict=True):
+                ends = [0, *(at or []), len(text)]
+                own = [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(own)), pa.array(range(len(own)), pa.int32()), pa.array(own, pa.string())], ["key", "no", "piece"])
+
+    return docs.mapInArrow(each, "key string, no int, piece string").repartition(parts(docs.sparkSession), "key", "no")
 
 
 def cuts(chunks: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -105,9 +125,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = Fal
     long = base.where(F.length("text") > chunk).withColumn("key", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)))
     one = long.dropDuplicates(["key"])
     at = cuts(chunked(one, chunk, overlap), pattern, chunk, overlap)
-    whole = F.concat(F.array(F.lit(0).cast("long")), F.coalesce("cuts", F.array().cast("array<long>")), F.array(F.length("text").cast("long")))
-    pieces = one.join(at, "key", "left").withColumn("b", whole).select("key", "text", "b", F.explode(F.sequence(F.lit(0), F.size("b") - 2)).alias("no"))
-    pieces = pieces.select("key", "no", F.col("text").substr((F.col("b")[F.col("no")] + 1).cast("int"), (F.col("b")[F.col("no") + 1] - F.col("b")[F.col("no")]).cast("int")).alias("piece")).repartition(parts(docs.sparkSession), "key", "no")
+    pieces = pieces_of(one.join(at, "key", "left").select("key", "text", "cuts"))
 
     @F.pandas_udf("binary")
     def encoded(piece: pd.Series) -> pd.Series:

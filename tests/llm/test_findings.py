@@ -186,3 +186,41 @@ def test_forest_decides_beyond_the_labels(spark):
     assert caught >= 38 and wrong <= 2
     pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIEabc\n-----END RSA PRIVATE KEY-----"
     assert [t for t in [f"x {pem} y"] for a, b in secrets.places(t) if t[a:b] == pem]
+
+
+def longest_first(item, text, least):
+    """Greedy tiling by trying every pair of places again for each tile."""
+    free_i, free_t, out = [True] * len(item), [True] * len(text), []
+    while True:
+        best = None
+        for i in range(len(item)):
+            for t in range(len(text)):
+                n = 0
+                while i + n < len(item) and t + n < len(text) and free_i[i + n] and free_t[t + n] and item[i + n] == text[t + n]:
+                    n += 1
+                if n >= least and (best is None or (-n, i, t) < best):
+                    best = (-n, i, t)
+        if best is None:
+            return out
+        n, i, t = -best[0], *best[1:]
+        free_i[i : i + n] = [False] * n
+        free_t[t : t + n] = [False] * n
+        out.append((i, t, n))
+
+
+def test_tiling_against_longest_first():
+    rng = np.random.default_rng(5)
+    for case in range(150):
+        words = rng.integers(1, 4 + case % 9, 50).astype(np.uint64)
+        item, text = words[:30], np.concatenate([words[rng.integers(0, 20) :], words[5:25], rng.integers(1, 6, 8).astype(np.uint64)])
+        for least in (3, 5):
+            assert sorted(decontaminate.tiles(item, text, least)) == sorted(longest_first(item.tolist(), text.tolist(), least))
+
+
+def test_items_in_several_blocks(spark):
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(30)]
+    docs = spark.createDataFrame([(i, f"so {t} end") for i, t in items] + [(99, "none of them")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, block_words=40).collect()}
+    assert found == {(i, i) for i, _ in items}
+    assert [r.doc_id for r in decontaminate.clean(docs, bench, block_words=40).collect()] == [99]
