@@ -38,7 +38,8 @@ SHINGLE = 5
 BANDS, ROWS = 22, 4
 #: Pivots of a bucket of rare elements in its first round; four times as many in each later one.
 PIVOTS = 16
-SALTS = 8
+SALTS = 8  # keys over which the rows of a hot bucket are spread
+SHARE = 256  # members of a bucket that meet its pivots under one key
 
 
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,27 +193,39 @@ def _with_own(band: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     return band.join(size.where(F.col("n") - F.col("own") >= threshold * F.col("n")), "node")
 
 
+def _at_buckets(rows: DataFrame, per_bucket: DataFrame) -> DataFrame:
+    """rows (bucket, node, ...) with what per_bucket (a row a bucket) says of their bucket; a hot bucket's rows are spread over SALTS keys."""
+    salted = per_bucket.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["bucket", "salt"]).drop("salt")
+
+
 def _strays(open_: DataFrame, labels: DataFrame) -> DataFrame:
-    """The buckets that may still hold pairs to compare, with root, stray and strays.
+    """The buckets that may still hold pairs to compare, with root, stray, strays and members (of the bucket).
 
     The largest class of a bucket is its main one; all others are strays, which must be compared with
     everything outside their class, unless they have been used as pivots.
     """
     now = open_.join(labels, "node")
-    size = now.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    main = size.groupBy("bucket").agg(F.max(F.struct("size", F.negative("root").alias("neg"))).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("bucket", F.negative("m.neg").alias("main"))
-    now = now.join(main, "bucket").withColumn("stray", (F.col("root") != F.col("main")) & ~F.col("used")).drop("main")
-    return now.join(now.groupBy("bucket").agg(F.count_if("stray").alias("strays")).where("strays > 0"), "bucket")
+    size = now.groupBy("bucket", "root").agg(F.count("*").alias("size"), F.count_if(~F.col("used")).alias("free"))
+    top = F.max(F.struct("size", F.negative("root").alias("neg"), "free"))
+    whole_ = size.groupBy("bucket").agg(top.alias("m"), F.count("*").alias("classes"), F.sum("free").alias("free"), F.sum("size").alias("members")).where("classes > 1")
+    main = whole_.select("bucket", "members", F.negative("m.neg").alias("main"), (F.col("free") - F.col("m.free")).alias("strays")).where("strays > 0")
+    return _at_buckets(now, main).withColumn("stray", (F.col("root") != F.col("main")) & ~F.col("used")).drop("main")
 
 
 def _links(now: DataFrame, held: DataFrame, threshold: float, extra: str, meet: F.Column) -> DataFrame:
-    """a, b, ra, rb: the links between the pivots of a bucket and its other classes, for pairs that meet."""
-    centre = now.where("pivot").select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), (F.col("n") - F.col("own")).alias("p_both"), F.col(extra).alias(f"p_{extra}"))
+    """a, b, ra, rb: the links between the pivots of a bucket and its other classes, for pairs that meet.
+
+    The members of a large bucket are spread over several keys, each of which gets all its pivots.
+    """
+    shares = F.ceil(F.col("members") / F.lit(SHARE)).cast("int")
+    now = now.withColumn("salt", F.pmod(F.xxhash64("node"), shares).cast("int"))
+    centre = now.where("pivot").select("bucket", F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"), F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), (F.col("n") - F.col("own")).alias("p_both"), F.col(extra).alias(f"p_{extra}"))
     most = F.least("p_both", F.col("n") - F.col("own"))  # common elements
     close = (F.col("p_root") != F.col("root")) & (most >= threshold * (F.col("n") + F.col("p_n") - most) - 1e-9)
     swap = F.col("p") > F.col("node")
     one, two = F.struct(F.col("p").alias("id"), F.col("p_root").alias("root")), F.struct(F.col("node").alias("id"), F.col("root"))
-    found = centre.join(now.drop("pivot", "used"), "bucket").where(close & meet).select(F.when(swap, two).otherwise(one).alias("one"), F.when(swap, one).otherwise(two).alias("two"))
+    found = centre.join(now.drop("pivot", "used", "members"), ["bucket", "salt"]).where(close & meet).select(F.when(swap, two).otherwise(one).alias("one"), F.when(swap, one).otherwise(two).alias("two"))
     pairs = found.select(F.col("one.id").alias("a"), F.col("one.root").alias("ra"), F.col("two.id").alias("b"), F.col("two.root").alias("rb")).distinct()
     with_a = pairs.join(held.select(F.col("pid").alias("a"), F.col("elements").alias("x")), "a")
     both = with_a.join(held.select(F.col("pid").alias("b"), F.col("elements").alias("y")), "b")
@@ -260,7 +273,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set", bands
     band = own.select("node", F.explode("bands").alias("bucket"))
     many = band.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("bucket")
     # Every band that is open: it may still hold pairs that have not been compared.
-    open_ = kept(band.join(many, "bucket").join(own, "node").withColumn("used", F.lit(False)), "bands")
+    open_ = kept(_at_buckets(band, many).join(own, "node").withColumn("used", F.lit(False)), "bands")
     wanted = open_.select(F.col("node").alias("pid")).distinct()
     held = kept(sets(base.join(wanted, "pid", "left_semi").groupBy("pid").agg(F.min("text").alias("text")), weights), "sets")
 
@@ -270,13 +283,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set", bands
     # Round 1 compares every band with its likely origin: the node with the fewest elements of its own.
     now = _strays(open_, labels)
     origin = now.groupBy("bucket").agg(F.min(F.struct("own", "node"))["node"].alias("origin"))
-    now = kept(now.join(origin, "bucket").withColumn("pivot", F.col("node") == F.col("origin")).withColumn("used", F.col("pivot")).drop("origin", "stray", "strays"), "bands")
+    now = kept(_at_buckets(now, origin).withColumn("pivot", F.col("node") == F.col("origin")).withColumn("used", F.col("pivot")).drop("origin", "stray", "strays"), "bands")
     # a pair belongs to the first of its common bands
     first = F.col("p_bands")[F.array_position(F.zip_with("p_bands", "bands", lambda x, y: x == y), True) - 1] == F.col("bucket")
     labels = _merged(labels, _links(now, held, threshold, "bands", first))
 
     # Later rounds: the nodes of bands that still hold strays meet by their rarest elements.
-    rest = kept(_strays(now.drop("root", "pivot"), labels).select("node", "n", "own").distinct(), "rest")
+    rest = kept(_strays(now.drop("root", "pivot", "members"), labels).select("node", "n", "own").distinct(), "rest")
     held = kept(held.join(rest.select(F.col("node").alias("pid")), "pid", "left_semi"), "sets")
     open_ = kept(_rarest(held, threshold).join(rest, "node").withColumn("used", F.lit(False)), "rarest")
     need = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("p_n")) - 1e-9)
@@ -290,7 +303,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, weights: str = "set", bands
         if now.isEmpty():
             break
         labels = _merged(labels, _links(now, held, threshold, "pos", early))
-        open_ = now.drop("root", "pivot")
+        open_ = now.drop("root", "pivot", "members")
         pivots *= 4
 
     of = member.join(labels, "node", "left").select("pid", F.coalesce("root", "node").alias("class_id"))

@@ -37,10 +37,8 @@ def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(vectors.finite("embedding"))
-    # An integer that a double can't hold exactly would need another score; components here are far smaller.
     vecs = rows.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("vec"))
-    found = vectors.top_k(vecs, vecs.where("id % 50 = 0"), 5)
-    return found.withColumn("score", F.round("score").cast("long"))
+    return vectors.top_k(vecs, vecs.where("id % 50 = 0"), 5, whole_numbers=True)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

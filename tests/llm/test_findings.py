@@ -7,7 +7,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 
-from llm import decontaminate, html, lm, pii, repeats, secrets, warc
+from pyspark.sql import functions as F
+
+from llm import decontaminate, html, lm, pii, repeats, secrets, vectors, warc
 from llm.common import qualified, scratch
 from llm.words import blocks
 
@@ -224,3 +226,27 @@ def test_items_in_several_blocks(spark):
     found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, block_words=40).collect()}
     assert found == {(i, i) for i, _ in items}
     assert [r.doc_id for r in decontaminate.clean(docs, bench, block_words=40).collect()] == [99]
+
+
+def test_whole_numbers_beyond_doubles(spark):
+    big = 1 << 28
+    rows = [(1, [float(big), float(big), 1.0]), (2, [float(big), 0.0, 1.0]), (3, [float(big), 0.0, 2.0]), (4, [float(big), 0.0, 2.0]), (5, None), (6, []), (7, [1.0, None, 2.0])]
+    vecs = spark.createDataFrame(rows, "id long, vec array<double>").withColumn("score", F.lit("x")).withColumn("qid", F.lit(0))
+    got = vectors.top_k(vecs, vecs.where("id = 1"), 3, whole_numbers=True)
+    assert [(r["rank"], r.vec_id, r.score) for r in got.orderBy("rank").collect()] == [(1, 3, (1 << 56) + 2), (2, 4, (1 << 56) + 2), (3, 2, (1 << 56) + 1)]
+    assert dict(got.dtypes)["score"] == "bigint"
+    assert vectors.top_k(vecs.limit(0), vecs.limit(0)).count() == 0
+    twice = vecs.unionByName(vecs)
+    assert vectors.top_k(twice, twice.where("id = 1"), 3, whole_numbers=True).count() == 3
+
+
+def test_top_k_against_brute_force_with_many_ties(spark):
+    rng = np.random.default_rng(12)
+    vecs = [rng.integers(-2, 3, 4).astype(float).tolist() for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(vecs)), "id long, vec array<double>").repartition(3)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in vectors.top_k(df, df.where("id % 25 = 0"), 5).collect()}
+    want = {}
+    for q in range(0, 400, 25):
+        for n, (s, i) in enumerate(sorted((-float(np.dot(vecs[q], v)), i) for i, v in enumerate(vecs) if i != q)[:5], 1):
+            want[q, n] = (i, -s)
+    assert got == want
