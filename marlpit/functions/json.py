@@ -25,17 +25,37 @@ def null_kind(v: Column, where: str) -> Column:
 
 
 def canonical(v: Column, where: str = "$") -> Column:
-    """A struct that can be grouped and sorted: kind of null, rank of the kind of value, number, text."""
+    """A struct that can be grouped and sorted: kind of null, rank of the kind of value, number (also exact where 38 digits hold it), text."""
     at = F.try_variant_get(v, where, "variant")
     kind = F.schema_of_variant(at)
     number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     rank = F.when(number, 0).when(kind == "STRING", 1).when(kind == "BOOLEAN", 2).otherwise(3)
     return F.struct(
         null_kind(v, where).alias("nothing"), F.when(null_kind(v, where) == VALUE, rank).alias("kind"),
-        F.when(number, F.try_variant_get(at, "$", "double")).alias("number"), F.when(~number & (null_kind(v, where) == VALUE), F.try_variant_get(at, "$", "string")).alias("text"),
+        F.when(number, F.try_variant_get(at, "$", "double")).alias("number"), F.when(number, F.try_variant_get(at, "$", "decimal(38,12)")).alias("exact"), F.when(~number & (null_kind(v, where) == VALUE), F.try_variant_get(at, "$", "string")).alias("text"),
     )
 
 
+def number_avg(v: Column, where: str) -> Column:
+    """avg() over JSON: the sum of the numbers by their count; null without any."""
+    return number_sum(v, where) / F.nullif(F.count_if(canonical(v, where)["kind"] == 0), F.lit(0))
+
+
+def _extreme(v: Column, where: str, pick) -> Column:  # noqa: ANN001
+    key = canonical(v, where)
+    atomic = (key["nothing"] == VALUE) & (key["kind"] < 3)
+    return pick(F.when(atomic, F.try_variant_get(v, where, "string")), F.when(atomic, key))
+
+
+def item_min(v: Column, where: str) -> Column:
+    """min() over JSON: numbers come before strings and these before booleans; nulls, arrays and objects are skipped. As text."""
+    return _extreme(v, where, F.min_by)
+
+
+def item_max(v: Column, where: str) -> Column:
+    return _extreme(v, where, F.max_by)
+
+
 def is_of_type(v: Column, kind: str) -> Column:
     """IS OF TYPE for one JSON item."""
     found = F.schema_of_variant(v)
@@ -44,5 +64,5 @@ def is_of_type(v: Column, kind: str) -> Column:
 
 
 def number_sum(v: Column, where: str) -> Column:
-    """sum() over JSON: items that are no numbers are skipped."""
-    return F.sum(F.when(canonical(v, where)["kind"] == 0, F.try_variant_get(v, where, "double")))
+    """sum() over JSON, exact for numbers of at most 26 digits before and 12 after the point: items that are no numbers are skipped."""
+    return F.sum(F.when(canonical(v, where)["kind"] == 0, F.try_variant_get(v, where, "decimal(38,12)")))

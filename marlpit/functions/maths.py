@@ -37,12 +37,25 @@ def rdiv(a: Column, b: Column) -> Column:
     return divide(a, b)
 
 
-def ceil(x: Column) -> Column:
+def pi() -> Column:
+    return F.pi()
+
+
+def e() -> Column:
+    return F.e()
+
+
+def ceil(x: Column, exact: bool = False) -> Column:
+    """exact: x is a decimal, and so is the result."""
+    if exact:
+        return F.ceil(x)
     d = x.cast("double")
     return F.when(F.isnan(d) | (F.abs(d) >= 2.0**53), d).otherwise(F.ceil(F.when(~F.isnan(d) & (F.abs(d) < 2.0**53), d)).cast("double"))
 
 
-def floor(x: Column) -> Column:
+def floor(x: Column, exact: bool = False) -> Column:
+    if exact:
+        return F.floor(x)
     d = x.cast("double")
     return F.when(F.isnan(d) | (F.abs(d) >= 2.0**53), d).otherwise(F.floor(F.when(~F.isnan(d) & (F.abs(d) < 2.0**53), d)).cast("double"))
 
@@ -52,12 +65,19 @@ def round_(x: Column, digits: int = 0) -> Column:
     return F.round(x, digits)
 
 
-def trunc(x: Column, digits: int = 0) -> Column:
-    """Towards zero, digits after the point (negative: before it)."""
+def trunc(x: Column, digits: int = 0, exact: bool = False) -> Column:
+    """Towards zero, digits after the point (negative: before it), in decimal digits: 0.29 has 29 hundredths.
+
+    exact: x is a decimal, and so is the result. Doubles beyond 2**52, and digits over 15, have nothing to take off.
+    """
+    if exact:
+        return F.when(x >= 0, F.floor(x, F.lit(digits))).otherwise(F.ceil(x, F.lit(digits)))
     d = x.cast("double")
-    scale = float(10 ** abs(digits))
-    up, down = (d * scale, lambda v: v / scale) if digits >= 0 else (d / scale, lambda v: v * scale)
-    return F.when(F.isnan(d) | (F.abs(d) >= 2.0**52), d).otherwise(down(F.signum(up) * floor(F.abs(up))))
+    big = F.isnan(d) | (F.abs(d) >= 2.0**52) | F.lit(digits > 15)
+    if digits == 0:
+        return F.when(big, d).otherwise(F.signum(d) * floor(F.abs(d)))
+    n = F.when(~big, d).cast("decimal(38,17)")
+    return F.when(big, d).otherwise(F.when(n >= 0, F.floor(n, F.lit(digits))).otherwise(F.ceil(n, F.lit(digits))).cast("double"))
 
 
 def cot(x: Column) -> Column:

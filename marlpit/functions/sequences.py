@@ -13,7 +13,8 @@ OPS: dict[str, Callable[[Column, Column], Column]] = {"=": lambda a, b: a == b,
 def any_op(op: str, left: Column, right: Column) -> Column:
     """left op-any right: true if some pair of items compares; null operands give null, empty ones false."""
     f = OPS[op]
-    return F.exists(left, lambda x: F.coalesce(F.exists(right, lambda y: F.coalesce(f(x, y), F.lit(False))), F.lit(False))) if op != "=" else F.when(left.isNotNull() & right.isNotNull(), F.coalesce(F.arrays_overlap(left, right), F.lit(False)))
+    found = F.coalesce(F.arrays_overlap(left, right), F.lit(False)) if op == "=" else F.exists(left, lambda x: F.exists(right, lambda y: F.coalesce(f(x, y), F.lit(False))))
+    return F.when(left.isNotNull() & right.isNotNull(), found)
 
 
 def any_value(op: str, items: Column, value: Column) -> Column:
@@ -70,14 +71,32 @@ def seq_count(items: Column) -> Column:
     return F.when(~_holds_null(items), F.size(items))
 
 
-def seq_sum(items: Column) -> Column:
+def seq_sum(items: Column, kind: str | None = None) -> Column:
+    """Nulls left out. Whole numbers give a long, floating-point ones a double; decimals are summed in the kind that is named."""
     real = F.filter(items, lambda x: x.isNotNull())
-    return F.when(F.size(real) > 0, F.aggregate(real, F.lit(0.0), lambda a, x: a + x.cast("double")))
+    if kind:
+        return F.when(F.size(real) > 0, F.aggregate(real, F.lit(0).cast(kind), lambda a, x: (a + x).cast(kind)))
+    zero = F.lit(0).cast("bigint") * F.element_at(real, 1)
+    return F.when(F.size(real) > 0, F.aggregate(real, zero, lambda a, x: a + x))
 
 
-def seq_avg(items: Column) -> Column:
+def seq_avg(items: Column, kind: str | None = None) -> Column:
     real = F.filter(items, lambda x: x.isNotNull())
-    return seq_sum(items) / F.nullif(F.size(real), F.lit(0))
+    return seq_sum(items, kind) / F.nullif(F.size(real), F.lit(0))
+
+
+def seq_sum_i(items: Column, kind: str | None = None) -> Column:
+    """Nulls left out, as in seq_sum."""
+    return seq_sum(items, kind)
+
+
+def seq_avg_i(items: Column, kind: str | None = None) -> Column:
+    return seq_avg(items, kind)
+
+
+def seq_count_i(items: Column) -> Column:
+    """Items that are not null."""
+    return F.size(F.filter(items, lambda x: x.isNotNull()))
 
 
 def seq_min(items: Column) -> Column:

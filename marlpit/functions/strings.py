@@ -101,5 +101,5 @@ def regex_like(s: Column, pattern: str, flags: str = "") -> Column:
         pattern = r"\Q" + pattern.replace(r"\E", r"\E\\E\Q") + r"\E"
     elif m := FORBIDDEN.search(pattern):
         raise ValueError(f"not in the pattern language: {m[0]}")
-    inline = "".join(f for f in flags if f in "sixm")
+    inline = "".join(f for f in flags if f in "sixmdu")
     return _s(s).rlike((f"(?{inline})" if inline else "") + rf"\A(?:{pattern})\z")

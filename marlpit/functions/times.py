@@ -40,6 +40,7 @@ def part(unit: str, t: Column) -> Column:
     return simple[unit](t)
 
 
+UNIT_ORDER = ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND", "MILLISECOND", "NANOSECOND")
 DURATION = re.compile(r"(\d+)\s*(YEAR|MONTH|DAY|HOUR|MINUTE|SECOND|MILLISECOND|NANOSECOND)S?", re.IGNORECASE)
 
 
@@ -61,6 +62,10 @@ def duration(text: str) -> tuple[int, int]:
 
 
 def timestamp_add(t: Column, text: str) -> Column:
+    """Units come from the largest to the smallest."""
+    order = [UNIT_ORDER.index(u.upper()) for _, u in DURATION.findall(text)]
+    if order != sorted(set(order)):
+        raise ValueError(f"units are not in falling order: {text}")
     months, micros = duration(text)
     t = to_time(t)
     moved = F.timestamp_add("MONTH", F.lit(months), t) if months else t
@@ -84,7 +89,7 @@ def get_duration(millis: Column) -> Column:
 
 
 #: Units of rounding. iweek and iyear follow the ISO calendar, week starts on Sunday.
-UNITS = ("year", "quarter", "month", "week", "iweek", "day", "hour", "minute", "second")
+UNITS = ("year", "iyear", "quarter", "month", "week", "iweek", "day", "hour", "minute", "second")
 
 
 def timestamp_floor(t: Column, unit: str = "day") -> Column:
@@ -95,10 +100,19 @@ def timestamp_floor(t: Column, unit: str = "day") -> Column:
         return F.date_trunc("day", t) - F.make_dt_interval(F.dayofweek(t) - 1)
     if unit not in UNITS:
         raise ValueError(f"unknown unit {unit}")
+    if unit == "iyear":
+        return _iso_year(F.year(F.date_trunc("week", t) + F.expr("INTERVAL 3 DAYS")))
     return F.date_trunc("week" if unit == "iweek" else unit, t)
 
 
+def _iso_year(year: Column) -> Column:
+    """The Monday of the week that holds 4 January."""
+    return F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4)).cast("timestamp"))
+
+
 def _next(low: Column, unit: str) -> Column:
+    if unit.lower() == "iyear":
+        return _iso_year(F.year(low + F.expr("INTERVAL 3 DAYS")) + 1)
     months = {"year": 12, "quarter": 3, "month": 1}.get(unit.lower())
     if months:
         return F.timestamp_add("MONTH", F.lit(months), low)

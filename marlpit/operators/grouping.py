@@ -21,9 +21,9 @@ def collect_regroup(arrays: Column) -> Column:
     return F.array_sort(F.flatten(F.collect_list(arrays)))
 
 
-def count_numbers(c: Column) -> Column:
-    """What avg() divides by: items that are numbers."""
-    return F.count(c.try_cast("double"))
+def count_numbers(v: Column) -> Column:
+    """What avg() divides by: VARIANT items that are numbers; numbers within strings are none."""
+    return F.count_if(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
 
 
 def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:

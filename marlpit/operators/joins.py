@@ -57,6 +57,11 @@ def _branches(node: Nested) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*(own.join(t, on(c.alias, t)) for c, t in trees), alone])
 
 
+def let(df: DataFrame, **values: Column) -> DataFrame:
+    """FROM t, expr AS $name: a value that is computed once for each row and bound to a name."""
+    return df.withColumns(values)
+
+
 def unnest(df: DataFrame, items: Column, name: str) -> DataFrame:
     """FROM t, items AS $name: rows without an item give none."""
     return df.withColumn(name, F.explode(items))

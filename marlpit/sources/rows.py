@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
@@ -25,13 +25,28 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def json_text(df: DataFrame, pretty: bool = False) -> Column:
+    """A row of df as JSON."""
+    return F.to_json(F.struct(*df.columns), {"pretty": "true"} if pretty else {})
+
+
+def csv_text(df: DataFrame) -> Column:
+    """A row of df as a line of CSV."""
+    return F.to_csv(F.struct(*df.columns))
+
+
+def line_text(df: DataFrame) -> Column:
+    """A row of df as 'column: value' lines."""
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL"))) for c in df.columns))
+
+
 def to_json_rows(df: DataFrame, pretty: bool = False) -> DataFrame:
-    return df.select(F.to_json(F.struct(*df.columns), {"pretty": "true"} if pretty else {}).alias("json"))
+    return df.select(json_text(df, pretty).alias("json"))
 
 
 def to_lines(df: DataFrame) -> DataFrame:
-    """Vertical output: one text of 'column: value' lines for each row."""
-    return df.select(F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL"))) for c in df.columns)).alias("lines"))
+    """Vertical output: one text for each row."""
+    return df.select(line_text(df).alias("lines"))
 
 
 def read_collection(spark: SparkSession, path: str, key: dict[str, str]) -> DataFrame:

@@ -7,9 +7,12 @@ import duckdb
 import numpy as np
 import pytest
 
+from marlpit.plans import more  # noqa: F401  registers its queries
 from marlpit.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
+#: Queries whose order is part of the result.
+ORDERED = ("order_limit_offset", "order_nulls", "json_order", "index_scan")
 
 
 def plain(v):
@@ -36,5 +39,8 @@ def test_query(spark, con, name):
     rel = con.sql(SQL[name])
     assert sorted(rel.columns) == cols
     at = [list(rel.columns).index(c) for c in cols]
-    want = sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
-    assert sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr) == want
+    want = [tuple(plain(r[i]) for i in at) for r in rel.fetchall()]
+    got = [tuple(plain(r[c]) for c in cols) for r in df.collect()]
+    if name in ORDERED:
+        assert got == want
+    assert sorted(got, key=repr) == sorted(want, key=repr)

@@ -5,7 +5,6 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from marlpit.catalog import Catalog, prepared, strip_hints
 from marlpit.functions import json as J
 from marlpit.functions import maths as M
 from marlpit.functions import sequences as Q
@@ -14,6 +13,7 @@ from marlpit.functions import times as T
 from marlpit.operators import dml, joins, scans
 from marlpit.sources import rows
 from marlpit.streaming import changes
+from marlpit.variables import prepared
 
 
 def one(spark, *cols):
@@ -81,14 +81,12 @@ def test_dml(spark):
     assert dml.merge_patch({"a": {"b": 1, "c": 2}, "d": [1]}, {"a": {"b": None}, "d": [2], "e": 3}) == {"a": {"c": 2}, "d": [2], "e": 3}
 
 
-def test_catalog(spark):
-    cat = Catalog(spark)
-    cat.create("A", spark.range(2).toDF("k"), ("k",))
-    with pytest.raises(ValueError):
-        cat.create("A.B", spark.range(2).toDF("x"), ("x",))
-    assert cat.alter("a", add={"v": "int"}).df.columns == ["k", "v"]
+def test_variables(spark):
+    spark.range(3).toDF("k").createOrReplaceTempView("A")
     assert prepared(spark, "declare $x int; select k from A where k = $x", x=1).count() == 1
-    assert strip_hints("select /*+ FORCE_INDEX(t i) */ 1").split() == ["select", "1"]
+    assert prepared(spark, "select /*+ FORCE_INDEX(t i) */ '$x' as a, \"it's ?\" as b from A where k > ? and k < $y", 0, y=2).collect() == [("$x", "it's ?")]
+    with pytest.raises(ValueError):
+        prepared(spark, "select ?")
 
 
 def test_sources_and_stream(spark, tmp_path):
