@@ -23,7 +23,7 @@ remove their union; other columns are ignored; an empty table gives an empty res
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -229,6 +229,7 @@ class Automaton:
 
     def __init__(self, pids: np.ndarray, passages: list[bytes], window: int) -> None:
         self.window, self.pids, self.passages = window, pids, passages
+        self.split: dict[int, list[bytes]] = {}
         w = next(iter(blocks(pa.array(passages, pa.large_binary()), 1 << 62)))[2]
         self.first, self.hashes = w.first, w.hashes
         self.words, numbers = np.unique(w.hashes, return_inverse=True)
@@ -243,6 +244,9 @@ class Automaton:
         new[1:] = (one[at[1:]] != one[at[:-1]]) | (two[at[1:]] != two[at[:-1]])
         anchor = least_at(runs(w.hashes, PHRASE), window - PHRASE + 1)
         half = -(-(window - PHRASE) // 2)
+        self.least = PHRASE + half  # words of a pattern
+        inside = whole(w.first, len(w.hashes), 2)[1]
+        self.pairs = np.unique(runs(w.hashes, 2)[inside])
         places: dict[str, list[tuple[int, int]]] = {}
         symbols = self.symbols(numbers)
         for p in np.unique(anchor[at[new]]).tolist():
@@ -260,15 +264,31 @@ class Automaton:
         n = numbers.astype(np.uint32) + 2
         return np.where(n >= 0xD800, n + 0x800, n).astype("<u4").tobytes().decode("utf-32-le")
 
-    def occurrences(self, hashes: np.ndarray, pid: int) -> Iterator[tuple[int, int, int, int]]:
-        """(first word, after the last word, passage, word of the passage) of runs of at least a window that a smaller document's passage has too."""
+    def same(self, k: int, at: int, words: list[bytes]) -> bool:
+        """Whether passage k has these words from its word `at` on."""
+        if k not in self.split:
+            self.split[k] = self.passages[k].split(b" ")
+        return self.split[k][at : at + len(words)] == words
+
+    def occurrences(self, hashes: np.ndarray, pid: int, words: Callable[[int, int], list[bytes]], late: bytearray) -> None:
+        """Marks in late every window that a smaller document's passage has too; words gives a text's words from one place to another."""
         if not len(self.words) or len(hashes) < self.window:
             return
-        at = np.searchsorted(self.words, hashes)
-        at[at == len(self.words)] = 0
-        text = self.symbols(np.where(self.words[at] == hashes, at, -1))
         done: set[tuple[int, int]] = set()
+        # no pattern lies across two neighbours that no passage has side by side
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], in_sorted(runs(hashes, 2), self.pairs), [False]]).astype(np.int8)))
+        for start, stop in zip(edge[::2].tolist(), (edge[1::2] + 1).tolist(), strict=True):
+            if stop - start >= self.least:
+                self._stretch(hashes, start, stop, pid, words, late, done)
+
+    def _stretch(self, hashes: np.ndarray, start: int, stop: int, pid: int, words: Callable[[int, int], list[bytes]], late: bytearray, done: set[tuple[int, int]]) -> None:
+        reach = self.window
+        text = self.symbols(np.searchsorted(self.words, hashes[start:stop]))
         for end, (size, where) in self.machine.iter(text):
+            end += start
+            # all windows around the pattern are known
+            if late.find(0, max(0, end + 1 - reach), min(len(late), end + 2 - size)) < 0:
+                continue
             for k, offset in where:
                 if self.pids[k] >= pid:
                     continue
@@ -281,8 +301,13 @@ class Automaton:
                 own = own[: len(hashes) - a]
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], own == hashes[a : a + len(own)], [False]]).astype(np.int8)))
                 for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    if e - s >= self.window:
-                        yield a + s, a + e, k, a + s - shift
+                    if e - s >= reach and self.same(k, a + s - shift, words(a + s, a + e)):
+                        n = e - s - reach + 1
+                        late[a + s : a + s + n] = b"\1" * n
+
+
+def words(raw: bytes, w: Words, a: int, b: int) -> list[bytes]:
+    return [raw[s:e] for s, e in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist(), strict=True)]
 
 
 def _again(w: Words, window: int) -> np.ndarray:
@@ -328,21 +353,21 @@ def _final_rows(window: int, keep_text: bool):  # noqa: ANN202
             raw = w.data.tobytes()
             for d in range(end - row):
                 a, b = int(w.first[d]), int(w.first[d + 1])
-                word = lambda i, j: b" ".join(raw[s:e] for s, e in zip(w.starts[i:j].tolist(), w.ends[i:j].tolist(), strict=True))  # noqa: B023, E731
                 if copy[row + d] and b - a >= window:
                     gone[a] += 1
                     gone[b] -= 1
-                else:
+                elif b - a >= window:
+                    late = bytearray(b - a - window + 1)
                     for m in machines:
-                        for s, e, k, at in m.occurrences(w.hashes[a:b], int(pid[row + d])):
-                            if b" ".join(m.passages[k].split(b" ")[at : at + e - s]) == word(a + s, a + e):
-                                gone[a + s] += 1
-                                gone[a + e] -= 1
+                        m.occurrences(w.hashes[a:b], int(pid[row + d]), lambda i, j: words(raw, w, a + i, a + j), late)  # noqa: B023
+                    at = np.flatnonzero(np.frombuffer(late, np.uint8)) + a
+                    gone[at] += 1
+                    np.add.at(gone, at + window, -1)
             lost = np.cumsum(gone)[:-1] > 0
             for d in range(end - row):
                 a, b = int(w.first[d]), int(w.first[d + 1])
                 left = np.flatnonzero(~lost[a:b]) + a
-                text = b" ".join(raw[s:e] for s, e in zip(w.starts[left].tolist(), w.ends[left].tolist(), strict=True))
+                text = b" ".join([raw[s:e] for s, e in zip(w.starts[left].tolist(), w.ends[left].tolist(), strict=True)])
                 own = int(pid[row + d])
                 rows.append((None if own == -(2**63) else own, b - a, int(lost[a:b].sum()), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if keep_text else None))
         return pa.table({c: pa.array(v, t) for c, v, t in zip(names, zip(*rows, strict=True), TYPES, strict=False)})
