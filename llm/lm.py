@@ -81,7 +81,13 @@ def _by_language(table: pa.Table, codes: dict[str, int]) -> Iterator[tuple[int,
 
 def dealt(docs: DataFrame) -> DataFrame:
     """docs in blocks: with lm_row (its own for each row) and lm_block, which is odd for fold 1."""
-    return in_blocks(docs, "text", BLOCK, "lm_block", "lm_row", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2)))
+    return in_blocks(docs, "text", BLOCK, "lm_block", "lm_row", fold_of(F.col("doc_id")))
+
+
+def fold_of(doc_id: F.Column) -> F.Column:
+    """0 or 1 by a product of the id; a null id is in fold 0."""
+    mixed = F.shiftright(F.pmod(doc_id.cast("long"), F.lit(1 << 31)) * F.lit(2654435761), 16)
+    return F.coalesce(F.pmod(mixed, F.lit(2)), F.lit(0))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -291,7 +297,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def length_class(symbols: F.Column) -> F.Column:
-    return F.floor(F.log2(symbols.cast("double"))).cast("int")
+    return F.length(F.bin(symbols))
 
 
 def quantiles(scored: DataFrame, by: list[str], quantile: float) -> DataFrame:
@@ -305,7 +311,8 @@ def quantiles(scored: DataFrame, by: list[str], quantile: float) -> DataFrame:
 def decided(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """scores() with threshold and keep."""
     scored = scores(docs, labels).withColumn("size", length_class(F.col("symbols")))
-    close, wide = (quantiles(scored, by, quantile) for by in (["lang", "size"], ["lang"]))
+    # a row for each language and length class: at most 2**LANG_BITS times 64
+    close, wide = (F.broadcast(quantiles(scored, by, quantile)) for by in (["lang", "size"], ["lang"]))
     both = scored.join(close, ["lang", "size"], "left").join(wide.withColumnRenamed("threshold", "wide"), "lang", "left")
     limit = F.when(F.col("perplexity").isNotNull(), F.coalesce("threshold", "wide"))
     return both.withColumn("threshold", limit).withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -62,8 +63,47 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-def oracle_sql() -> dict[str, str]:
+def _language_model_sql() -> str:
+    """Counts, discounts, probabilities and thresholds of operator 10 in SQL; grams are hexadecimal strings of lm.ORDER bytes."""
+    n = lm.ORDER
+    steps = [f"""
+        WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, (((doc_id % 2147483648) * 2654435761) >> 16) & 1 AS fold FROM documents),
+        good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND coalesce(max(toxic), 0) <> 1),
+        has AS (SELECT DISTINCT lang, fold FROM d WHERE doc_id IN (SELECT doc_id FROM good) AND text <> '' AND lang IS NOT NULL),
+        x AS (SELECT doc_id, d.lang, d.fold, CASE WHEN o.lang IS NULL THEN d.fold ELSE 1 - d.fold END AS model, regexp_extract_all(hex(encode(text)), '..') AS b
+              FROM d LEFT JOIN has o ON o.lang = d.lang AND o.fold = 1 - d.fold WHERE text <> '' AND d.lang IN (SELECT lang FROM has)),
+        y AS (SELECT doc_id, lang, fold, model, unnest(b) AS b, unnest(range(len(b))) AS i FROM x),
+        g AS (SELECT doc_id, lang, fold, model, {' || '.join([f"lag(b, {i}, '00') OVER w" for i in range(n - 1, 0, -1)] + ['b'])} AS gram FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        c{n} AS (SELECT lang, fold, gram, count(*)::DOUBLE AS n FROM g WHERE doc_id IN (SELECT doc_id FROM good) GROUP BY ALL)"""]
+    for k in range(n, 0, -1):
+        if k < n:
+            steps.append(f"c{k} AS (SELECT lang, fold, substr(gram, 3) AS gram, count(*)::DOUBLE AS n FROM c{k + 1} GROUP BY ALL)")
+        cut = lambda i: f"CASE WHEN m{i} > 0 THEN least({i - 0.01}, greatest(0.01, {i} - {i + 1} * (m1 / (m1 + 2 * m2)) * m{i + 1} / m{i})) ELSE 0.9 END AS d{i}"
+        steps.append(f"m{k} AS (SELECT lang, fold, {', '.join(f'count(*) FILTER (WHERE n = {i})::DOUBLE AS m{i}' for i in (1, 2, 3, 4))} FROM c{k} GROUP BY ALL)")
+        steps.append(f"d{k} AS (SELECT lang, fold, {cut(1)}, {cut(2)}, {cut(3)} FROM m{k})")
+        steps.append(f"w{k} AS (SELECT lang, fold, gram, n, left(gram, {2 * k - 2}) AS context, CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS cut FROM c{k} JOIN d{k} USING (lang, fold))")
+        steps.append(f"t{k} AS (SELECT lang, fold, context, sum(n) AS total, sum(cut) AS cuts FROM w{k} GROUP BY ALL)")
+    steps.append(f"u{n} AS (SELECT DISTINCT lang, model AS fold, gram FROM g)")
+    steps += [f"u{k} AS (SELECT DISTINCT lang, fold, substr(gram, 3) AS gram FROM u{k + 1})" for k in range(n - 1, 0, -1)]
+    for k in range(1, n + 1):
+        low = "1.0 / 256" if k == 1 else "l.p"
+        join = "" if k == 1 else f" JOIN p{k - 1} l ON l.lang = u.lang AND l.fold = u.fold AND l.gram = substr(u.gram, 3)"
+        steps.append(f"""p{k} AS (SELECT u.lang, u.fold, u.gram, coalesce((w.n - w.cut) / t.total, 0) + coalesce(t.cuts / t.total, 1) * {low} AS p FROM u{k} u LEFT JOIN w{k} w ON w.lang = u.lang AND w.fold = u.fold AND w.gram = u.gram
+                     LEFT JOIN t{k} t ON t.lang = u.lang AND t.fold = u.fold AND t.context = left(u.gram, {2 * k - 2}){join})""")
+    steps.append(f"""s AS (SELECT doc_id, round(exp(avg(-ln(p))), {lm.DIGITS}) AS perplexity FROM g JOIN p{n} p ON p.lang = g.lang AND p.fold = g.model AND p.gram = g.gram GROUP BY doc_id),
+        a AS (SELECT doc_id, d.lang, octet_length(encode(text)) AS n_symbols, perplexity, length(bin(octet_length(encode(text)))) AS size, doc_id IN (SELECT doc_id FROM good) AND perplexity IS NOT NULL AS trusted FROM d LEFT JOIN s USING (doc_id)),
+        r AS (SELECT lang, size, perplexity, row_number() OVER (PARTITION BY lang, size ORDER BY perplexity) AS i, count(*) OVER (PARTITION BY lang, size) AS n, row_number() OVER (PARTITION BY lang ORDER BY perplexity) AS j, count(*) OVER (PARTITION BY lang) AS m FROM a WHERE trusted),
+        near AS (SELECT lang, size, min(perplexity) AS threshold FROM r WHERE i >= ceil({lm.QUANTILE} * (n + 1) - 1e-9) GROUP BY ALL),
+        wide AS (SELECT lang, min(perplexity) AS threshold FROM r WHERE j >= ceil({lm.QUANTILE} * (m + 1) - 1e-9) GROUP BY ALL)
+        SELECT doc_id, a.lang, n_symbols, perplexity, CASE WHEN perplexity IS NOT NULL THEN coalesce(near.threshold, wide.threshold) END AS threshold, coalesce(perplexity <= coalesce(near.threshold, wide.threshold), true) AS keep
+        FROM a LEFT JOIN near ON near.lang = a.lang AND near.size = a.size LEFT JOIN wide ON wide.lang = a.lang""")
+    # each step is computed once
+    return re.sub(r"(\w+) AS \(SELECT", r"\1 AS MATERIALIZED (SELECT", ",\n".join(steps))
+
+
+def duckdb_sql() -> dict[str, str]:
     return {
+        "op10_quality": _language_model_sql(),
         "op1_html_text": r"""
             WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS body FROM pages),
             b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(body, '<br>', ' ', 'g'), '</?b>', '', 'g'), '<[^>]*>', chr(1), 'g') AS body FROM a),

@@ -199,7 +199,7 @@ NAMES = [c.split()[0] for c in INDEX.split(", ")]
 ORDER = ["url_key", "captured", "page_id", "archive", "position"]
 READ = 1_024  # rows of a run that are held at once
 FAN_IN = 128  # runs merged at once; more of them take another pass
-SAMPLE = 20_000  # keys from which the ranges are taken
+SAMPLE = 5_000  # keys from which the ranges are taken
 
 
 def _place(row: tuple) -> tuple:
