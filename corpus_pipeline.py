@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
 columns of documents. The last one returns what tokenising gives for each remaining document.
+
+Cases: null and empty texts, and null ids, pass every stage; of repeated rows of an id one stays; other columns are kept, whatever their
+names; without labels, or without benchmark items, the stage concerned keeps all; an empty table gives an empty result.
 """
 
 from __future__ import annotations
