@@ -1,4 +1,7 @@
-"""Connected components of a DataFrame of edges by alternating large and small stars."""
+"""Connected components of a DataFrame of edges by alternating large and small stars.
+
+Cases: edges with a null end, from a node to itself, and repeated ones are ignored; other columns too; without edges the result is empty.
+"""
 
 from __future__ import annotations
 
