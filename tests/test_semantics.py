@@ -10,6 +10,7 @@ from marlpit.functions import maths as M
 from marlpit.functions import sequences as Q
 from marlpit.functions import strings as S
 from marlpit.functions import times as T
+from marlpit.functions import values as V
 from marlpit.operators import dml, joins, scans
 from marlpit.sources import rows
 from marlpit.streaming import changes
@@ -102,3 +103,53 @@ def test_sources_and_stream(spark, tmp_path):
     kept = spark.read.schema(schema).parquet(str(tmp_path / "out"))
     now = changes.apply_changes(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), kept, ["k"])
     assert sorted(map(tuple, now.collect())) == [(1, "new")]
+
+
+def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
+    schema = "table string, op string, k int, ts timestamp"
+    put = lambda k: spark.createDataFrame([("t", "put", k, None)], schema).write.mode("append").parquet(str(tmp_path / "log"))
+    run = lambda: changes.to_table(changes.subscribe(spark, str(tmp_path / "log"), schema, ["t"]), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+    put(1)
+    run()
+    put(2)
+    run()
+    run()
+    assert sorted(r.k for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_values_that_were_once_wrong(spark):
+    d = lambda x: F.lit(float(x))
+    assert one(spark, M.trunc(d(0.29), 2), M.trunc(d(1.15), 2), M.trunc(d(-2.79), 1), M.trunc(d(1234.5), -2), M.trunc(d(1e20), 3), M.trunc(F.lit(None).cast("double"), 2)) == [0.29, 1.15, -2.7, 1200.0, 1e20, None]
+    nothing = F.lit(None).cast("array<int>")
+    assert one(spark, *(Q.any_op(op, F.array(F.lit(1)), nothing) for op in Q.OPS)) == [None] * 6
+    assert one(spark, Q.seq_sum(F.array(F.lit(9007199254740993))), S.regex_like(F.lit("É"), "é", "iu")) == [9007199254740993, True]
+    big = spark.createDataFrame([('{"a":9007199254740993}',), ('{"a":9007199254740992}',), ('{"a":1}',), ('{"a":1.0}',)], "s string")
+    assert big.groupBy(J.canonical(J.parse_json(F.col("s")), "$.a").alias("k")).count().count() == 3
+    t = F.lit("2021-01-02T10:00:00")  # in the ISO year 2020
+    assert [str(x)[:10] for x in one(spark, T.timestamp_floor(t, "iyear"), T.timestamp_ceil(t, "iyear"), T.timestamp_round(t, "iyear"))] == ["2019-12-30", "2021-01-04", "2021-01-04"]
+    with pytest.raises(ValueError):
+        T.timestamp_add(t, "1 hour 1 day")
+
+
+def test_new_rows_of_one_key(spark):
+    t = spark.createDataFrame([(1, "a")], "k int, v string")
+    n = spark.createDataFrame([(2, "c"), (2, "b"), (1, "z"), (3, None)], "k int, v string")
+    assert sorted(map(tuple, dml.insert(t, n, ["k"], F.col("v"), {"v": F.lit("?")}).collect())) == [(1, "a"), (2, "b"), (3, "?")]
+    assert sorted(map(tuple, dml.upsert(t, n.where("v is not null"), ["k"], F.col("v")).collect())) == [(1, "z"), (2, "c")]
+    bad = spark.createDataFrame([("{", "{}"), ('{"a":1}', '{"a":null}')], "d string, p string")
+    assert [r[0] for r in bad.select(dml.json_merge("d", "p")).collect()] == [None, "{}"]
+    with pytest.raises(Exception, match="must be an object"):
+        bad.select(dml.json_merge("d", F.lit("[1]"))).collect()
+
+
+def test_several_items_and_types(spark):
+    v = lambda *texts: F.array(*(F.parse_json(F.lit(x)) for x in texts))
+    none = F.filter(v("1"), lambda x: F.lit(False))
+    assert one(spark, V.compare_items("=", v("1"), v("1.0")), V.compare_items("<", v('"a"'), v("2")), V.compare_items("!=", v('"a"'), v("2")), V.compare_items("=", none, none), V.compare_items("=", none, v("1")), V.compare_items("=", v("null"), v("null"))) == [True, False, True, True, False, True]
+    with pytest.raises(Exception, match="more than one item"):
+        one(spark, V.compare_items("=", v("1", "2"), v("1")))
+    assert one(spark, V.is_of_type(v("1", "2"), ("number", "+")), V.is_of_type(v("1", "2"), ("number", "?")), V.is_of_type(v("1"), ("double", ""), only=True), V.is_of_type(none, ("string", "?")), V.is_of_type(v("1.5"), ("long", ""))) == [True, False, False, True, False]
+    with pytest.raises(ValueError):
+        V.cast(F.lit(True), "boolean", "long")
+    with pytest.raises(ValueError):
+        scans.order_by(spark.createDataFrame([([1],)], "a array<int>"), "a")
