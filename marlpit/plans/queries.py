@@ -242,7 +242,9 @@ def math_functions(spark, d):
 
 @query("SELECT o_orderkey, o_orderkey // 7 AS q, CASE WHEN o_custkey % 3 = 0 THEN CASE WHEN o_totalprice = 0 THEN 'NaN'::DOUBLE ELSE 'Infinity'::DOUBLE END ELSE o_totalprice / (o_custkey % 3) END AS f FROM orders")
 def arithmetic(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", M.divide(c("o_orderkey"), F.lit(7).cast("long"), integral=True).alias("q"), M.divide(c("o_totalprice"), c("o_custkey") % 3).alias("f"))
+    p, by = c("o_totalprice"), c("o_custkey") % 3
+    p = F.when(by != 0, p).when(p == 0, p).otherwise(F.lit(1.0))  # over 0, the SQL takes every price but 0 (nulls and negative ones too) as positive
+    return read(spark, d, "orders").select("o_orderkey", M.divide(c("o_orderkey"), F.lit(7).cast("long"), integral=True).alias("q"), M.divide(p, by).alias("f"))
 
 
 @query("""SELECT event_id, year(ts)::INTEGER AS y, month(ts)::INTEGER AS mo, day(ts)::INTEGER AS d, hour(ts)::INTEGER AS h, minute(ts)::INTEGER AS mi, second(ts)::INTEGER AS s, weekofyear(ts)::INTEGER AS iw, quarter(ts)::INTEGER AS q, isodow(ts)::INTEGER AS dow,

@@ -44,3 +44,18 @@ def test_query(spark, con, name):
     if name in ORDERED:
         assert got == want
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def check_rows(spark, d, name, table, rows):
+    """The query and its SQL over a table of the given rows."""
+    con = duckdb.connect()
+    con.execute(f"COPY ({rows}) TO '{d}/{table}.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{d}/{table}.parquet'")
+    df = QUERIES[name](spark, str(d))
+    want = [tuple(map(plain, r)) for r in con.sql(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})").fetchall()]
+    assert sorted([tuple(map(plain, r)) for r in df.collect()], key=repr) == sorted(want, key=repr)
+
+
+def test_arithmetic_of_odd_prices(spark, tmp_path):
+    prices = "unnest([NULL, '-5', '0', '-0.0', '2.5', 'nan', 'inf', '-inf']::DOUBLE[])"
+    check_rows(spark, tmp_path, "arithmetic", "orders", f"SELECT *, (row_number() OVER () - 20)::BIGINT AS o_orderkey FROM (SELECT {prices} AS o_totalprice), (SELECT unnest([NULL, 0, 1, 2, 3, -1, -3]::BIGINT[]) AS o_custkey)")
