@@ -19,8 +19,8 @@ def log10(x: Column) -> Column:
 
 
 def log(value: Column, base: Column) -> Column:
-    """The value comes first."""
-    return ln(value) / F.nullif(ln(base), F.lit(0.0))
+    """The value comes first. To base 1: infinities, and NaN for 1."""
+    return divide(ln(value), ln(base))
 
 
 def divide(a: Column, b: Column, integral: bool = False) -> Column:

@@ -335,7 +335,8 @@ def durations(spark, d):
           trunc(l_extendedprice / 100) * 100 AS tr, CASE WHEN l_discount = 0 THEN 'Infinity'::DOUBLE ELSE l_quantity / l_discount END AS ra, round(l_quantity / 4) AS ro FROM lineitem""")
 def math_more(spark, d):
     q, e, di = c("l_quantity"), c("l_extendedprice"), c("l_discount")
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(M.log(e, q + 1), 6).alias("lg"), F.round(M.cot(q), 6).alias("ct"), F.round(F.asin(di) + F.acos("l_tax") + F.atan(q), 6).alias("arc"), M.trunc(e, -2).alias("tr"), M.rdiv(q, di).alias("ra"), M.round_(q / 4).alias("ro"))
+    over = F.when(di == 0, F.lit(1.0)).otherwise(q)  # over 0, the SQL takes every quantity (0, nulls and negative ones too) as positive
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(M.log(e, q + 1), 6).alias("lg"), F.round(M.cot(q), 6).alias("ct"), F.round(F.asin(di) + F.acos("l_tax") + F.atan(q), 6).alias("arc"), M.trunc(e, -2).alias("tr"), M.rdiv(over, di).alias("ra"), M.round_(q / 4).alias("ro"))
 
 
 @query("""SELECT p_partkey, len(w)::INTEGER AS n, len(list_filter(w, lambda x: length(x) > 6)) > 0 AS any_long, list_concat(w, [p_brand, p_type]) AS more, list_min(list_filter(w, lambda x: length(x) > 4)) AS low, list_max(w) AS high
