@@ -68,7 +68,7 @@ def round_(x: Column, digits: int = 0) -> Column:
 def trunc(x: Column, digits: int = 0, exact: bool = False) -> Column:
     """Towards zero, digits after the point (negative: before it), in decimal digits: 0.29 has 29 hundredths.
 
-    exact: x is a decimal, and so is the result. Doubles beyond 2**52, and digits over 15, have nothing to take off.
+    exact: x is a decimal, and so is the result. Doubles beyond 2**52 have nothing to take off after the point, and digits over 15 neither.
     """
     if exact:
         return F.when(x >= 0, F.floor(x, F.lit(digits))).otherwise(F.ceil(x, F.lit(digits)))
@@ -76,8 +76,15 @@ def trunc(x: Column, digits: int = 0, exact: bool = False) -> Column:
     big = F.isnan(d) | (F.abs(d) >= 2.0**52) | F.lit(digits > 15)
     if digits == 0:
         return F.when(big, d).otherwise(F.signum(d) * floor(F.abs(d)))
+    whole = d
+    if digits < 0:  # the text of a large double, as 1.25E16, is cut
+        finite = F.when(big & (F.abs(d) < INF), d)
+        text = F.abs(finite).cast("string")
+        power = F.substring_index(text, "E", -1).cast("int")
+        cut = F.concat(F.substring(text, F.lit(1), F.least(power + digits + 2, F.instr(text, "E") - 1)), F.lit("E"), power.cast("string"))
+        whole = F.when(finite.isNull(), d).when(power + digits < 0, F.lit(0.0)).otherwise(F.signum(finite) * cut.try_cast("double"))
     n = F.when(~big, d).cast("decimal(38,17)")
-    return F.when(big, d).otherwise(F.when(n >= 0, F.floor(n, F.lit(digits))).otherwise(F.ceil(n, F.lit(digits))).cast("double"))
+    return F.when(big, whole).otherwise(F.when(n >= 0, F.floor(n, F.lit(digits))).otherwise(F.ceil(n, F.lit(digits))).cast("double"))
 
 
 def cot(x: Column) -> Column:

@@ -62,5 +62,5 @@ def test_arithmetic_of_odd_prices(spark, tmp_path):
 
 
 def test_math_more_of_odd_numbers(spark, tmp_path):
-    q, e, di = (f"unnest([{', '.join(f'{x!r}' if x else 'NULL' for x in v.split(','))}]::DOUBLE[])" for v in (",-0.5,0,1,2,nan,inf", ",0,-250,1,0.5,900.68,inf", ",0,-0.0,0.05,1.5,nan"))
+    q, e, di = (f"unnest([{', '.join(f'{x!r}' if x else 'NULL' for x in v.split(','))}]::DOUBLE[])" for v in (",-0.5,0,1,2,nan,inf", ",0,-250,1,0.5,900.68,10000000000000056,inf", ",0,-0.0,0.05,1.5,nan"))
     check_rows(spark, tmp_path, "math_more", "lineitem", f"SELECT *, row_number() OVER () AS l_orderkey, 1 AS l_linenumber, 0.02::DOUBLE AS l_tax FROM (SELECT {q} AS l_quantity), (SELECT {e} AS l_extendedprice), (SELECT {di} AS l_discount)")

@@ -153,3 +153,9 @@ def test_several_items_and_types(spark):
         V.cast(F.lit(True), "boolean", "long")
     with pytest.raises(ValueError):
         scans.order_by(spark.createDataFrame([([1],)], "a array<int>"), "a")
+
+
+def test_large_numbers_lose_digits_before_the_point(spark):
+    d = lambda x: F.lit(float(x))
+    got = one(spark, M.trunc(d(4503599627370497), -2), M.trunc(d(-9007199254740991), -3), M.trunc(d(123456789012345680), -2), M.trunc(d(1e300), -2), M.trunc(d(1.5e38), -37), M.trunc(d(1.5e39), -39), M.trunc(d(9.9e20), -21), M.trunc(d("-inf"), -2), M.trunc(d(4503599627370497), 2), M.trunc(F.lit(None).cast("double"), -2), M.trunc(d("nan"), -2))
+    assert got[:10] == [4503599627370400.0, -9007199254740000.0, 123456789012345600.0, 1e300, 1.5e38, 1e39, 0.0, -math.inf, 4503599627370497.0, None] and math.isnan(got[10])
